@@ -240,14 +240,21 @@ def _add_item(curve: np.ndarray, weight: int, value: float) -> np.ndarray:
     return after
 
 
-@F.pandas_udf("array<bigint>")
-def _exact_choice(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for items, weights, values, capacity in batches:
-        out = []
-        for ids, w, v, cap in zip(items, weights, values, capacity):
-            keep = _best_subset(np.asarray(w, dtype="int64"), np.asarray(v, dtype="float64"), int(cap))
-            out.append(np.asarray(ids)[keep].tolist())
-        yield pd.Series(out)
+def exact_ids(items: str, weights: str, values: str, capacity: str) -> Column:
+    """Chosen ids of one group's arrays; rows of many groups share an Arrow batch."""
+
+    def choose(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for ids, w, v, cap in batches:
+            rows = zip(ids, w, v, cap, strict=True)
+            yield pd.Series(
+                [
+                    np.asarray(i)[_best_subset(np.asarray(x, "int64"), np.asarray(y, "float64"), int(c))].tolist()
+                    for i, x, y, c in rows
+                ]
+            )
+
+    udf = F.pandas_udf(choose, "array<bigint>", F.PandasUDFType.SCALAR_ITER)
+    return udf(items, weights, values, capacity)
 
 
 def _in_one_row(items: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
@@ -272,7 +279,7 @@ def select_under_budget(
         useful = placed.filter((F.col("_r") + 1) * F.col("weight") <= F.col("capacity")).drop("_r")
         rest = useful if rest is None else rest.unionByName(useful)
     rows = _in_one_row(rest.select(*keys, item, "weight", "value", "capacity"), keys, item)
-    chosen = _exact_choice(f"_items.{item}", "_items.weight", "_items.value", "capacity")
+    chosen = exact_ids(f"_items.{item}", "_items.weight", "_items.value", "capacity")
     return rows.select(*keys, F.explode(chosen).alias(item))
 
 
@@ -399,7 +406,7 @@ def _flag_in_one_row(segments: DataFrame, exact: bool) -> DataFrame:
         F.first("capacity").alias("capacity"), F.sort_array(F.collect_list(F.struct("shot_idx", *fields[1:]))).alias("_g")
     )
     if exact:
-        ids = _exact_choice("_g.shot_idx", "_g.weight", "_g.score", "capacity")
+        ids = exact_ids("_g.shot_idx", "_g.weight", "_g.score", "capacity")
     else:
         items = F.transform(
             "_g", lambda x: F.struct(x["shot_idx"].alias("i"), x["weight"].alias("w"), x["score"].alias("v"))
