@@ -253,7 +253,7 @@ def exact_ids(items: str, weights: str, values: str, capacity: str) -> Column:
                 ]
             )
 
-    udf = F.pandas_udf(choose, "array<bigint>", F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(choose, "array<bigint>")
     return udf(items, weights, values, capacity)
 
 
