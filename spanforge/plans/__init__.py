@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["index_plans", "join_plans", "groundtruth_plans", "stats_plans", "distribution_plans"]
+MODULES = ["index_plans", "join_plans", "groundtruth_plans", "stats_plans", "distribution_plans", "text_plans"]
 
 
 def load():
