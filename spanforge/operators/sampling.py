@@ -183,3 +183,9 @@ def run_centers(votes: DataFrame, n: str, over: Oversize | None = None) -> DataF
     )
     center = (F.col("start") + F.col("stop")) / F.lit(2.0) / F.col(n)
     return runs.select(*keys, "start", "stop", center.alias("center"))
+
+
+def stride_from_picks(frames: DataFrame, single: int = index.SINGLE_FRAME_STRIDE) -> DataFrame:
+    """Distance of the first two picks of a group; a fixed value for one pick."""
+    at = lambda i: F.max(F.when(F.col("step") == i, F.col("pick")))
+    return frames.groupBy(*KEYS).agg(F.coalesce(at(1) - at(0), F.lit(single)).cast("long").alias("stride"))

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["index_plans", "join_plans", "groundtruth_plans", "stats_plans", "distribution_plans", "text_plans"]
+MODULES = [
+    "index_plans",
+    "join_plans",
+    "groundtruth_plans",
+    "stats_plans",
+    "distribution_plans",
+    "sampling_plans",
+    "text_plans",
+    "metric_plans",
+    "source_plans",
+    "stream_plans",
+]
 
 
 def load():

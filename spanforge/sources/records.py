@@ -34,11 +34,14 @@ def load_video_records(records: DataFrame, fields: Sequence[str] = ARRAYS) -> Da
 
 
 def aligned_block(c: Column) -> Column:
-    """A block stored as an object or as its printed Python form."""
-    return F.coalesce(
-        F.from_json(c, ALIGNED, {"allowSingleQuotes": "true"}),
-        F.from_json(F.regexp_replace(c, r"\bNone\b", "null"), ALIGNED, {"allowSingleQuotes": "true"}),
-    )
+    """A block stored as a JSON object or as its printed Python form."""
+    printed = c
+    # Python's spelling of the JSON literals.
+    for python, json in (("None", "null"), ("True", "true"), ("False", "false")):
+        printed = F.regexp_replace(printed, rf"(?<=[:\[,]\s?){python}(?=\s*[,}}\]])", json)
+    text_form = F.when(F.regexp(c, F.lit(r"^\s*\{\s*'")), printed).otherwise(c)
+    options = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    return F.from_json(text_form, ALIGNED, options)
 
 
 def parse_nested_docs(lines: DataFrame) -> dict[str, DataFrame]:
