@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters treated as white space.
-SPACES = (
-    r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# The characters treated as white space, inside a class of a (?U) pattern.
+SPACES = r"\s\x1c-\x1f"
 
 # Words softened before a request, in order.
 SOFTER_WORDS = [
@@ -34,31 +32,31 @@ FILTER_MARKERS = ["content_filter", "responsibleaipolicyviolation"]
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{SPACES}]+|[{SPACES}]+\z", "")
+    return F.regexp_replace(c, rf"(?U)^[{SPACES}]+|[{SPACES}]+\z", "")
 
 
 def is_blank(c: Column) -> Column:
     """NULL, empty or white space only."""
-    return F.coalesce(~F.regexp(c, F.lit(rf"[^{SPACES}]")), F.lit(True))
+    return F.coalesce(~F.regexp(c, F.lit(rf"(?U)[^{SPACES}]")), F.lit(True))
 
 
 def word_count(c: Column) -> Column:
-    return F.coalesce(F.regexp_count(c, F.lit(rf"[^{SPACES}]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(c, F.lit(rf"(?U)[^{SPACES}]+")), F.lit(0)).cast("long")
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(rf"[^{SPACES}]+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(rf"(?U)[^{SPACES}]+"), F.lit(0))
 
 
 def sentence_count(c: Column) -> Column:
     """Pieces between runs of ``.!?`` that hold more than white space."""
-    piece = rf"[^.!?]*?[^.!?{SPACES}][^.!?]*"
+    piece = rf"(?U)[^.!?]*?[^.!?{SPACES}][^.!?]*"
     return F.coalesce(F.regexp_count(c, F.lit(piece)), F.lit(0)).cast("long")
 
 
 def split_sentences(c: Column) -> Column:
     """Sentences split at white space behind ``.``, ``!`` or ``?``."""
-    parts = F.split(strip(c), rf"(?<=[.!?])[{SPACES}]+")
+    parts = F.split(strip(c), rf"(?U)(?<=[.!?])[{SPACES}]+")
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
@@ -69,7 +67,7 @@ def lines(c: Column) -> Column:
 
 def drop_bullets(items: Column) -> Column:
     """Remove leading numbers and bullet marks; drop lines that held nothing else."""
-    bare = F.transform(items, lambda s: F.regexp_replace(s, rf"^(?:\d+[.)]|[-*•])[{SPACES}]*", ""))
+    bare = F.transform(items, lambda s: F.regexp_replace(s, rf"(?U)^(?:\d+[.)]|[-*•])[{SPACES}]*", ""))
     return F.filter(bare, lambda s: s != "")
 
 

@@ -294,7 +294,7 @@ def chain_metrics(spark, sf):
 
 def doc_pairs(spark, sf):
     """Each whole document against the reference passage assigned to it."""
-    docs = views.table(spark, sf, "documents").select("doc_id", F.col("text").alias("candidate"))
+    docs = views.documents(spark, sf).select("doc_id", F.col("text").alias("candidate"))
     refs = views.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("reference"))
     return docs.withColumn("item_id", F.col("doc_id") % 40).join(refs, "item_id").select("doc_id", "candidate", "reference")
 

@@ -78,7 +78,7 @@ def nested_lines(spark, sf):
             F.when(F.col("doc_id") % 3 > 0, printed).alias("aligned_text_summary"),
         )
     )
-    return views.table(spark, sf, "documents").select(F.lit("docs").alias("dataset"), k.alias("video_id"), whole.alias("doc"))
+    return views.documents(spark, sf).select(F.lit("docs").alias("dataset"), k.alias("video_id"), whole.alias("doc"))
 
 
 NESTED = """

@@ -249,7 +249,7 @@ S = lambda c: f"len(list_filter(regexp_split_to_array({c}, '[.!?]+'), lambda x:
     ),
 )
 def dataset_overview(spark, sf):
-    docs = views.table(spark, sf, "documents").select(
+    docs = views.documents(spark, sf).select(
         F.lit("events").alias("dataset"),
         F.when(F.col("doc_id") % 4 == 0, "summary").otherwise("document").alias("block"),
         F.col("text").alias("raw_text"),
@@ -266,7 +266,7 @@ def dataset_overview(spark, sf):
 def word_and_sentence_count(spark, sf):
     from spanforge.functions import text
 
-    d = views.table(spark, sf, "documents")
+    d = views.documents(spark, sf)
     return d.select(
         "doc_id",
         text.word_count(F.col("text")).alias("n_words"),
@@ -279,7 +279,7 @@ def word_and_sentence_count(spark, sf):
     """SELECT lang, count(DISTINCT w) AS vocabulary_size FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '\\S+')) AS w FROM documents) GROUP BY lang""",
 )
 def vocabulary_size(spark, sf):
-    return ag.vocabulary_size(views.table(spark, sf, "documents"), "text", ["lang"])
+    return ag.vocabulary_size(views.documents(spark, sf), "text", ["lang"])
 
 
 DESCRIBE = ", ".join(

@@ -269,7 +269,7 @@ def parse_first_index(spark, sf):
 
 def summary_answers(spark, sf):
     """Whole documents as the summary part of an answer, with a frame list behind."""
-    d = views.table(spark, sf, "documents")
+    d = views.documents(spark, sf)
     k = F.col("doc_id")
     numbered = F.concat(F.lit("1. "), F.regexp_replace("text", "\n", "\n- "))
     body = F.when(k % 3 == 0, numbered).otherwise(F.col("text"))
@@ -405,7 +405,7 @@ def parse_thirds(spark, sf):
         F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("MIDDLE THIRD : "), "source", F.lit("\n"))),
         F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("LAST THIRD:\n"), "lang", F.lit(" "))),
     )
-    d = views.table(spark, sf, "documents").select("doc_id", raw.alias("raw")).withColumns(ps.parse_thirds(F.col("raw")))
+    d = views.documents(spark, sf).select("doc_id", raw.alias("raw")).withColumns(ps.parse_thirds(F.col("raw")))
     return d.select("doc_id", F.md5("first_third").alias("first_third"), "middle_third", "last_third")
 
 
@@ -431,7 +431,7 @@ def generated(spark, sf):
         F.col("source"),
         F.lit("\n Note: dropped\n\n[Shot 8] is missing"),
     ]
-    return views.table(spark, sf, "documents").select("doc_id", F.concat(*parts).alias("document"))
+    return views.documents(spark, sf).select("doc_id", F.concat(*parts).alias("document"))
 
 
 @query(
@@ -475,7 +475,7 @@ def strip_thinking(spark, sf):
         .when(k == 3, F.concat(F.lit("<think>a</think>"), "text", F.lit(" <think>b</think>")))
     )
     out = text.strip_thinking(raw)
-    return views.table(spark, sf, "documents").select(
+    return views.documents(spark, sf).select(
         "doc_id", F.when(k == 1, out).otherwise(F.md5(out)).alias("answer")
     )
 
@@ -487,7 +487,7 @@ def strip_thinking(spark, sf):
 )
 def split_sentences(spark, sf):
     s = text.split_sentences(F.col("text"))
-    return views.table(spark, sf, "documents").select(
+    return views.documents(spark, sf).select(
         "doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("sentences")
     )
 
@@ -511,7 +511,7 @@ def soften_text(spark, sf):
     words = F.array(*[F.lit(w) for w in SOFT_WORDS])
     pick = lambda m: F.get(words, (F.col("doc_id") * m % 10).cast("int"))
     raw = F.concat("text", F.lit(" The "), pick(1), F.lit(" saw "), pick(3))
-    return views.table(spark, sf, "documents").select("doc_id", F.md5(text.soften_text(raw)).alias("softened"))
+    return views.documents(spark, sf).select("doc_id", F.md5(text.soften_text(raw)).alias("softened"))
 
 
 @query(
@@ -537,4 +537,4 @@ def after_marker(spark, sf):
     raw = F.when(
         F.col("doc_id") % 2 == 0, F.concat(F.lit("USER: a ASSISTANT: b\nASSISTANT: "), "text")
     ).otherwise(F.col("text"))
-    return views.table(spark, sf, "documents").select("doc_id", F.md5(text.after_marker(raw)).alias("answer"))
+    return views.documents(spark, sf).select("doc_id", F.md5(text.after_marker(raw)).alias("answer"))

@@ -20,12 +20,27 @@ from spanforge.operators.sampling import sample_per_group, shuffle_per_group
 
 SEED = 42
 N_ITEMS = 8
+FEW_SPLITS = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-heavy work on a scan of few splits.
+
+    A large input has many splits and is left as it is.
+    """
+    splits = df.rdd.getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if splits < min(cores, FEW_SPLITS) else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def frames(spark: SparkSession, sf_dir: str, over: Oversize | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         F.lit("events").alias("dataset"),
@@ -96,7 +111,10 @@ segments AS (
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as scored items; the key columns complete the order of lines."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"
+    )
+    return spread(lines).select(
         F.lit("orders").alias("dataset"),
         F.col("l_orderkey").cast("string").alias("video_id"),
         F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", cents).alias("item_key"),
