@@ -6,17 +6,22 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import index
 from spanforge.operators.ordered import KEYS, Oversize, find_oversize, running_sum, with_position
-from spanforge.session import checkpoint
+from spanforge.session import checkpoint, row_limit
 
 # Steps of one sequence that a kernel segmentation task looks at together; the
 # kernel of a block takes 8 * BLOCK**2 bytes.
 BLOCK = 2048
 BANDWIDTH_SAMPLE = 1000
+# Items of one group that are packed into a row and folded there.
+FOLD_ROWS = 20_000
+# Value-curve cells kept at once for the exact choice, and the largest capacity it is made for.
+KEPT_CELLS = 1 << 22
+EXACT_CAPACITY = 10_000_000
 
 
 # ---- scores ----------------------------------------------------------------
@@ -203,6 +208,10 @@ def segment_kernel_mass(frames: DataFrame, shots_per_task: int = 64) -> DataFram
 
 # ---- budgeted selection ----------------------------------------------------
 
+def fold_limit(spark: SparkSession) -> int:
+    return min(FOLD_ROWS, row_limit(spark))
+
+
 def _best_subset(weights: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
     """0/1 choice of maximal value; of equal choices the later item stays out.
 
@@ -213,19 +222,21 @@ def _best_subset(weights: np.ndarray, values: np.ndarray, capacity: int) -> np.n
     chosen = np.zeros(n, dtype=bool)
     if capacity <= 0 or n == 0:
         return chosen
-    stride = max(1, int(np.sqrt(n)))
-    curve = np.zeros(capacity + 1)
-    kept = {}
+    stride = n if n * (capacity + 1) <= KEPT_CELLS else max(1, int(np.sqrt(n)))
+    curve, kept = np.zeros(capacity + 1), {}
+    rows = [curve]
     for i in range(n):
         if i % stride == 0:
-            kept[i] = curve
+            kept[i], rows = curve, [curve]
         curve = _add_item(curve, weights[i], values[i])
+        rows.append(curve)
     left = capacity
     for base in sorted(kept, reverse=True):
-        rows = [kept.pop(base)]
         stop = min(base + stride, n)
-        for i in range(base, stop):
-            rows.append(_add_item(rows[-1], weights[i], values[i]))
+        if stop < n:
+            rows = [kept[base]]
+            for i in range(base, stop):
+                rows.append(_add_item(rows[-1], weights[i], values[i]))
         for i in range(stop - 1, base - 1, -1):
             if rows[i - base + 1][left] != rows[i - base][left]:
                 chosen[i] = True
@@ -270,9 +281,15 @@ def select_under_budget(
     ``items`` has integer ``weight``, ``value`` and the group's ``capacity``. In an oversize
     group at most floor(capacity / w) items of weight w can be taken, and they are the most
     valuable ones; the rest is dropped before the group is folded, without changing the optimum.
+    A capacity above ``EXACT_CAPACITY`` is out of reach of the exact method; such a group
+    gets the greedy selection.
     """
-    over = over or find_oversize(items, keys)
+    over = over or find_oversize(items, keys, fold_limit(items.sparkSession))
     rest, big = over.split(items, keys)
+    huge = None
+    if big is not None:
+        huge = big.filter(F.col("capacity") > EXACT_CAPACITY)
+        big = big.filter(F.col("capacity") <= EXACT_CAPACITY)
     if big is not None:
         classes = [*keys, "weight"]
         placed = with_position(big, classes, [F.desc("value"), F.col(item)], "_r")
@@ -280,7 +297,8 @@ def select_under_budget(
         rest = useful if rest is None else rest.unionByName(useful)
     rows = _in_one_row(rest.select(*keys, item, "weight", "value", "capacity"), keys, item)
     chosen = exact_ids(f"_items.{item}", "_items.weight", "_items.value", "capacity")
-    return rows.select(*keys, F.explode(chosen).alias(item))
+    out = rows.select(*keys, F.explode(chosen).alias(item))
+    return out if huge is None else out.unionByName(select_greedy(huge, keys, item, over))
 
 
 def _efficiency(value: Column, weight: Column) -> Column:
@@ -311,7 +329,7 @@ def select_greedy(
     Ordinary groups are folded inside the JVM. Oversize groups go through
     :func:`_greedy_rounds`.
     """
-    over = over or find_oversize(items, keys)
+    over = over or find_oversize(items, keys, fold_limit(items.sparkSession))
     rest, big = over.split(items.filter(F.col("capacity") > 0), keys)
     out = None
     if rest is not None:
@@ -422,6 +440,11 @@ def _flag_in_one_row(segments: DataFrame, exact: bool) -> DataFrame:
     return out.withColumn("selected", F.array_contains("_ids", F.col("shot_idx")).cast("int"))
 
 
+def annotation_limit(spark: SparkSession) -> int:
+    """Steps of a group whose ten-step segments still fold in one row."""
+    return min(10 * FOLD_ROWS, row_limit(spark))
+
+
 def annotate_ground_truth(
     frames: DataFrame, portion: float = 0.15, exact: bool = False, over: Oversize | None = None
 ) -> DataFrame:
@@ -431,7 +454,7 @@ def annotate_ground_truth(
     ``start_pick``/``end_pick`` in original frames, ``selected`` and ``key_pick`` (selected
     segments only). While no group is oversize, every stage reuses the exchange of the frames.
     """
-    over = over or find_oversize(frames, KEYS)
+    over = over or find_oversize(frames, KEYS, annotation_limit(frames.sparkSession))
     cut = segment_uniform(frames, over=over)
     segments = cut.groupBy(*KEYS, "shot_idx").agg(
         F.min("step").alias("start"),

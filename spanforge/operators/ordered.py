@@ -21,6 +21,8 @@ from spanforge.session import BROADCAST_ROWS, checkpoint, row_limit
 
 KEYS = ("dataset", "video_id")
 SLAB = "_slab"
+# Beyond this many slabs they grow instead; a slab is sorted and may spill.
+MAX_SLABS = 20_000
 
 
 @dataclass(frozen=True)
@@ -63,7 +65,7 @@ def find_oversize(df: DataFrame, keys: Sequence[str] = KEYS, limit: int | None =
 
 def _slabs(df: DataFrame, keys: Sequence[str], order: Sequence[Column], over: Oversize) -> DataFrame:
     rest, big = over.split(df, keys)
-    parts = max(2, math.ceil(2 * over.rows / over.limit))
+    parts = min(MAX_SLABS, max(2, math.ceil(2 * over.rows / over.limit)))
     cut = big.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
     cut = checkpoint(cut.withColumn(SLAB, F.spark_partition_id() + 1))
     if rest is None:

@@ -91,7 +91,7 @@ def line_items(spark, sf):
     from spanforge.operators.ordered import with_position
 
     lines = views.order_lines(spark, sf)
-    over = find_oversize(lines, KEYS)
+    over = find_oversize(lines, KEYS, gt.fold_limit(spark))
     placed = with_position(lines, KEYS, [F.col(c) for c in views.LINE_ORDER], "shot_idx", over)
     totals = lines.groupBy(*KEYS).agg(F.sum("weight").alias("_w"))
     items = placed.join(totals, list(KEYS)).select(
@@ -234,8 +234,9 @@ final AS (SELECT *, CASE WHEN sum(sel) OVER (PARTITION BY video_id) = 0 AND sum(
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def annotate_ground_truth(spark, sf):
-    over = find_oversize(views.table(spark, sf, "events"), ["user_id"])
-    over = find_oversize(views.frames(spark, sf), KEYS) if not over.empty else over
+    limit = gt.annotation_limit(spark)
+    over = find_oversize(views.table(spark, sf, "events"), ["user_id"], limit)
+    over = find_oversize(views.frames(spark, sf), KEYS, limit) if not over.empty else over
     out = gt.annotate_ground_truth(views.frames(spark, sf, over), over=over)
     return out.drop("dataset").withColumn("score", r6("score"))
 
