@@ -69,6 +69,16 @@ def with_group_size(df: DataFrame, name: str, over: Oversize | None, keys: Seque
     return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), list(keys))
 
 
+def with_group_total(
+    df: DataFrame, value: str, name: str, over: Oversize | None, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Add the group's sum of an integer column, in the same way."""
+    over = over or find_oversize(df, keys)
+    if over.empty:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys)))
+    return df.join(df.groupBy(*keys).agg(F.sum(value).alias(name)), list(keys))
+
+
 def segment_uniform(
     frames: DataFrame, steps_per_segment: int = 10, over: Oversize | None = None
 ) -> DataFrame:

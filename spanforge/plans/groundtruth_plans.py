@@ -91,10 +91,12 @@ def line_items(spark, sf):
     from spanforge.operators.ordered import with_position
 
     lines = views.order_lines(spark, sf)
-    over = find_oversize(lines, KEYS, gt.fold_limit(spark))
+    limit = gt.fold_limit(spark)
+    over = find_oversize(views.table(spark, sf, "lineitem"), ["l_orderkey"], limit)
+    over = over if over.empty else find_oversize(lines, KEYS, limit)
     placed = with_position(lines, KEYS, [F.col(c) for c in views.LINE_ORDER], "shot_idx", over)
-    totals = lines.groupBy(*KEYS).agg(F.sum("weight").alias("_w"))
-    items = placed.join(totals, list(KEYS)).select(
+    sized = gt.with_group_total(placed, "weight", "_w", over)
+    items = sized.select(
         *KEYS, "shot_idx", "weight", F.col("score").alias("value"), index.portion_floor(0.4, F.col("_w")).alias("capacity")
     )
     return items, over
