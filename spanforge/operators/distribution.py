@@ -28,18 +28,18 @@ def value_counts(df: DataFrame, value: str, in_subset: str = "in_subset") -> Dat
     )
 
 
-def _curves(counts: DataFrame, over: Oversize) -> DataFrame:
+def _curves(df: DataFrame, value: str) -> tuple[DataFrame, Oversize]:
     """Both distribution functions at every value."""
-    totals = counts.agg(F.sum("n_full").alias("f"), F.sum("n_sub").alias("s"))
+    counts = value_counts(df, value)
+    over = find_oversize(counts, [])
+    known = df.filter(F.col(value).isNotNull())
+    sizes = known.agg(
+        F.struct(F.count(F.lit(1)).alias("f"), F.sum(F.col("in_subset").cast("long")).alias("s"))
+    ).scalar()
     cum = running_sum(counts, [], [F.col("v")], {"c_full": F.col("n_full"), "c_sub": F.col("n_sub")}, over)
-    full, sub = totals.select("f").scalar(), totals.select("s").scalar()
-    return cum.withColumns(
-        {
-            "_nf": full,
-            "_ns": sub,
-            "gap": F.abs(F.try_divide(F.col("c_full").cast("double"), full) - F.try_divide(F.col("c_sub").cast("double"), sub)),
-        }
-    )
+    share = lambda c, n: F.try_divide(F.col(c).cast("double"), F.col(n).cast("double"))
+    cum = cum.withColumn("_n", sizes).withColumns({"_nf": F.col("_n.f"), "_ns": F.col("_n.s")}).drop("_n")
+    return cum.withColumn("gap", F.abs(share("c_full", "_nf") - share("c_sub", "_ns"))), over
 
 
 def kolmogorov_tail(x: Column, terms: int = 100) -> Column:
@@ -54,8 +54,7 @@ def kolmogorov_tail(x: Column, terms: int = 100) -> Column:
 
 def ks_two_sample(df: DataFrame, value: str) -> DataFrame:
     """Largest distance of the two distribution functions, with the asymptotic p-value."""
-    counts = value_counts(df, value)
-    found = _curves(counts, find_oversize(counts, [])).agg(
+    found = _curves(df, value)[0].agg(
         F.max("gap").alias("statistic"), F.max("_nf").alias("n_full"), F.max("_ns").alias("n_sub")
     )
     size = F.col("n_full").cast("double") * F.col("n_sub") / (F.col("n_full") + F.col("n_sub"))
@@ -64,9 +63,8 @@ def ks_two_sample(df: DataFrame, value: str) -> DataFrame:
 
 def wasserstein_1d(df: DataFrame, value: str) -> DataFrame:
     """Area between the distribution functions, and its share of the full mean."""
-    counts = value_counts(df, value)
-    over = find_oversize(counts, [])
-    spaced = next_value(_curves(counts, over), [], "v", "_next", over)
+    curves, over = _curves(df, value)
+    spaced = next_value(curves, [], "v", "_next", over)
     out = spaced.agg(
         F.coalesce(F.sum(F.col("gap") * (F.col("_next") - F.col("v"))), F.lit(0.0)).alias("distance"),
         (F.sum(F.col("v") * F.col("n_full")) / F.sum("n_full")).alias("_mean"),

@@ -80,18 +80,24 @@ def parse_assignments(
     else:
         start, stop, body = head, rf"{head}\d", "(.+?)"
 
-    def line(k: Column) -> Column:
-        found = F.concat(
-            F.lit(f"(?is){start}"), k.cast("string"), F.lit(rf"\s*:\s*{body}(?={stop}|$)")
-        )
-        part = F.call_function("regexp_extract", raw, found, F.lit(1))
-        present = F.regexp(raw, found) if strict else part != ""
+    def pattern(k: Column) -> Column:
+        return F.concat(F.lit(f"(?is){start}"), k.cast("string"), F.lit(rf"\s*:\s*{body}(?={stop}|$)"))
+
+    def part(k: Column) -> Column:
+        found = F.call_function("regexp_extract", raw, pattern(k), F.lit(1))
+        fields = [k.alias("k"), found.alias("part")]
+        if strict:
+            fields.append(F.regexp(raw, pattern(k)).alias("hit"))
+        return F.struct(*fields)
+
+    def line(x: Column) -> Column:
+        present = x["hit"] if strict else x["part"] != ""
         ids = F.transform(
-            F.filter(text.integers(part), lambda x: (x >= 1) & (x <= F.col("n_ids"))), lambda x: x - 1
+            F.filter(text.integers(x["part"]), lambda i: (i >= 1) & (i <= F.col("n_ids"))), lambda i: i - 1
         )
-        return F.struct(k.alias("k"), F.coalesce(present, F.lit(False)).alias("present"), ids.alias("ids"))
+        return F.struct(x["k"].alias("k"), F.coalesce(present, F.lit(False)).alias("present"), ids.alias("ids"))
 
-    out = outputs.withColumn("_l", F.transform(upto(F.col("n_lines")), line))
+    out = outputs.withColumn("_l", F.transform(F.transform(upto(F.col("n_lines")), part), line))
     missing = "missing Summary " if strict else "missing_line_"
 
     def reason(x: Column) -> Column:
