@@ -22,7 +22,7 @@ from spanforge.plans.text_plans import (
     pair_answers,
 )
 from spanforge.sources import views
-from spanforge.sources.views import FEATURE_FRAMES, FRAMES, ORDER_LINES, SENTENCES, SHOT_FRAMES, TASK_ITEMS
+from spanforge.sources.views import FEATURE_FRAMES, FRAMES, ORDER_LINES, SENTENCES, TASK_ITEMS
 
 # ---- sets ------------------------------------------------------------------
 
