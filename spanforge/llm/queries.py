@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe, chat_format, packing, pii, url_filter
+from spanforge.llm import ann, bpe, chat_format, fingerprint, minhash, packing, pii, toxicity, url_filter
 from spanforge.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,11 +25,34 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_fingerprint")
+def op1_fingerprint(spark, sf):
+    made = fingerprint.fingerprint_documents(table(spark, sf, "documents"))
+    own, edited = F.col("sketch"), F.col("edited_sketch")
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_text(own).alias("fingerprint"),
+        fingerprint.as_text(edited).alias("edited_fingerprint"),
+        fingerprint.resemblance(own, edited).alias("near_edited"),
+        fingerprint.resemblance(own, F.col("next_sketch")).alias("near_next"),
+    )
+
+
 @query("op2_pii")
 def op2_pii(spark, sf):
     return pii.find_pii(table(spark, sf, "documents"))
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    scored = toxicity.score_texts(docs, toxicity.learn(docs, table(spark, sf, "labels")))
+    held = F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "n_direct", "n_quoted")
+
+
 OWN_CHAT = "</s>[INST] ok [/INST]"
 
 
@@ -42,7 +65,7 @@ WITH turns AS (
 ), sized AS (
   SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + length(text) - length(replace(text, '[', ''))
     + length(text) - length(replace(text, '<', ''))
-    + CASE role WHEN 'system' THEN 20 WHEN 'user' THEN 15 WHEN 'assistant' THEN 10 END AS formatted
+    + CASE role WHEN 'system' THEN 19 WHEN 'user' THEN 15 WHEN 'assistant' THEN 10 END AS formatted
   FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,
@@ -122,6 +145,51 @@ def op6_byte_bpe(spark, sf):
     return bpe.encode_texts(table(spark, sf, "documents"), ranks, ids=False)
 
 
+@query(
+    "op7_minhash",
+    r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN list_transform(w, lambda x: [x])
+    ELSE list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]]) END) AS s FROM words
+), nodes AS (
+  SELECT doc_id, len(s) AS n, list_sort(s) AS s FROM sets
+), firsts AS (
+  SELECT min(doc_id) AS node, any_value(n) AS n, s FROM nodes WHERE n > 0 GROUP BY s
+), items AS (
+  SELECT node, n, hash(unnest(s)) AS g FROM firsts
+), rare AS (
+  SELECT g FROM items GROUP BY g HAVING count(*) > 1
+), kept AS (
+  SELECT node, n, g FROM items SEMI JOIN rare USING (g)
+), links AS (
+  SELECT a.node AS a, b.node AS b FROM kept a JOIN kept b ON a.g = b.g AND a.node < b.node
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT node AS a, node AS b FROM firsts UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a
+), lowest AS (
+  SELECT a AS node, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT d.doc_id, d.n AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id,
+  coalesce(l.component_id, d.doc_id) = d.doc_id AS kept
+FROM nodes d LEFT JOIN firsts f ON d.s = f.s LEFT JOIN lowest l USING (node)
+""",
+)
+def op7_minhash(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op8_nearest")
+def op8_nearest(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 @query("op10_packing")
 def op10_packing(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
