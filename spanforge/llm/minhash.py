@@ -102,8 +102,8 @@ def set_id(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
-def signatures(docs: DataFrame, p: Params, key: str, text: str) -> DataFrame:
-    """key, n_shingles, node (the set's id; null if empty), bands."""
+def signatures(docs: DataFrame, p: Params, keep: list[str], text: str) -> DataFrame:
+    """The columns ``keep``, n_shingles, node (the set's id; null if empty), bands."""
     added = {"n_shingles": pa.int64(), "node": pa.binary(), "bands": pa.list_(pa.int64())}
 
     def work(texts: list[str]) -> dict[str, list]:
@@ -115,7 +115,7 @@ def signatures(docs: DataFrame, p: Params, key: str, text: str) -> DataFrame:
             out["bands"].append(band_hashes(s, p) if len(s) else [])
         return out
 
-    return map_texts(docs, [key], text, work, added)
+    return map_texts(docs, keep, text, work, added)
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, p: Params, key: str, text: str) -> DataFrame:
@@ -177,9 +177,9 @@ def _across(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", params: Params | None = None
+    docs: DataFrame, key: str = "doc_id", text: str = "text", params: Params | None = None, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per document: key, n_shingles, component_id, kept.
+    """One row per document: key, the columns ``keep``, n_shingles, component_id, kept.
 
     Documents with the same shingle set are one node. Nodes that share a band are candidates; only pairs that aren't connected yet are
     compared, on their full sets: first each node with one node of its bucket, in a few rounds with other choices, then all
@@ -192,7 +192,7 @@ def near_duplicates(
     table gives no rows; other columns are ignored.
     """
     p = params or Params()
-    signed = checkpoint(signatures(docs, p, key, text))
+    signed = checkpoint(signatures(docs, p, [key, *keep], text))
     nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias(key), F.first("bands").alias("bands"))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = checkpoint(_members(buckets, None).select("bucket", "node"))
@@ -221,6 +221,6 @@ def near_duplicates(
         linked = comps.join(lowest, "component").select("node", "_low")
         smallest = smallest.join(linked, "node", "left").select("node", F.coalesce("_low", "_rep").alias("_rep"))
     full = signed.filter(F.col("node").isNotNull()).join(smallest, "node")
-    full = full.select(key, "n_shingles", F.col("_rep").alias("component_id"))
-    empty = signed.filter(F.col("node").isNull()).select(key, "n_shingles", F.col(key).alias("component_id"))
+    full = full.select(key, *keep, "n_shingles", F.col("_rep").alias("component_id"))
+    empty = signed.filter(F.col("node").isNull()).select(key, *keep, "n_shingles", F.col(key).alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

@@ -119,8 +119,15 @@ def _join(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", params: Params | None = None, masked: bool = False) -> DataFrame:
-    """One row per document: key, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores, n_likely[, masked_text].
+def find_pii(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    params: Params | None = None,
+    masked: bool = False,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """One row per document: key (or the columns ``keep``), n_email, n_ip, n_card, n_phone, base_sha256, spans, scores, n_likely[, masked_text].
 
     ``spans`` lists kind:start:end of all spans by start, then kind; ``scores`` belongs to it item by item;
     ``n_likely`` counts scores of 0.5 or more. Each text is read on its own and whole, in one pass per kind.
@@ -147,4 +154,4 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", params: P
                 out["masked_text"].append(mask(t, spans))
         return out
 
-    return map_texts(docs, [key], text, work, added)
+    return map_texts(docs, keep or [key], text, work, added)

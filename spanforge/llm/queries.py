@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import ann, bpe, chat_format, fingerprint, minhash, packing, pii, toxicity, url_filter
+from spanforge.llm import ann, bpe, chat_format, fingerprint, minhash, packing, pii, suffix_dedup, toxicity, url_filter
 from spanforge.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,6 +190,41 @@ def op8_nearest(spark, sf):
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+@query(
+    "op9_suffix_dedup",
+    r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(0, n - 49)) AS pos, h FROM d WHERE n >= 50
+), strings AS (
+  SELECT doc_id, pos, substr(h, 2 * pos + 1, 100) AS s FROM windows
+), earliest AS (
+  SELECT s, min(doc_id) AS first_id FROM strings GROUP BY s
+), gone AS (
+  SELECT doc_id, pos FROM strings JOIN earliest USING (s) WHERE first_id < doc_id
+), marked AS (
+  SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 50 THEN 0 ELSE 1 END AS fresh FROM gone
+), numbered AS (
+  SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM marked
+), spans AS (
+  SELECT doc_id, span, min(pos) AS a, max(pos) + 50 AS b FROM numbered GROUP BY doc_id, span
+), before AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM spans
+), totals AS (
+  SELECT b.doc_id, sum(b.b - b.a) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM before b JOIN d ON d.doc_id = b.doc_id GROUP BY b.doc_id
+)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN totals USING (doc_id)
+""",
+)
+def op9_suffix_dedup(spark, sf):
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
 @query("op10_packing")
 def op10_packing(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -329,8 +329,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return float(beta[0]), max(0.0, float(beta[1]))
 
 
-def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, score, predicted, n_direct, n_quoted.
+def score_texts(
+    docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """One row per document: key (or the columns ``keep``), score, predicted, n_direct, n_quoted.
 
     ``score`` is between 0 and 1, ``predicted`` is 1 from 0.5 on. Texts are read whole; null and empty texts score as texts
     without evidence. Repeated rows, ties and null keys stay rows of their own; an empty table gives no rows;
@@ -350,4 +352,4 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
                 out[name].append(x)
         return out
 
-    return map_texts(docs, [key], text, work, added)
+    return map_texts(docs, keep or [key], text, work, added)
