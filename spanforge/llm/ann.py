@@ -42,6 +42,11 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & finite & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
+def rescaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no cosine but keeps the squares of huge or tiny numbers finite."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def cosines(rows: np.ndarray, norms: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Row by row, so that equal vectors get equal values wherever they stand."""
     return (rows * query).sum(axis=1) / (norms * math.sqrt(float((query * query).sum())))
@@ -51,9 +56,8 @@ class SortedProjections:
     """The index of one shard: an array of sorted projections of unit vectors for each direction."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, p: Params) -> None:
-        self.p, self.ids, self.vectors = p, ids, vectors
-        scale = np.abs(vectors).max(axis=1)[:, None]  # keeps squares of very large or small numbers finite
-        self.norms = np.sqrt(((vectors / scale) ** 2).sum(axis=1)) * scale[:, 0]
+        self.p, self.ids, self.vectors = p, ids, (vectors := rescaled(vectors))
+        self.norms = np.sqrt((vectors**2).sum(axis=1))
         projected = directions(vectors.shape[1], p) @ (vectors / self.norms[:, None]).T
         self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
@@ -76,6 +80,7 @@ class SortedProjections:
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[int], list[int], list[float]]:
         """(query ids, found ids, cosines): up to k for each query."""
         out: tuple[list[int], list[int], list[float]] = ([], [], [])
+        queries = rescaled(queries)
         need = math.ceil(self.p.share * self.p.projections)
         for at in range(0, len(queries), 256):
             low, high = self.windows(queries[at : at + 256])

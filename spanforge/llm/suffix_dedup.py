@@ -197,7 +197,7 @@ def snippet_blobs(texts: DataFrame, buckets: int, p: Params) -> DataFrame:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of all suffixes, sorted by at least their first ``depth`` bytes.
+    """Places of all suffixes, sorted by at least their first ``depth`` bytes; beyond the end stand zero bytes.
 
     Larsson-Sadakane refinement: after a sort by eight bytes, only groups of suffixes that are still equal are sorted again, by the
     rank of the suffix that begins where the compared part ends, which doubles that part.
