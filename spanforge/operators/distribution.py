@@ -6,6 +6,7 @@ values and not over rows; those steps are cut into slabs when even they are many
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,21 +103,42 @@ def _chi2_tail() -> object:
 
 
 def _upper_gamma(a: float, x: float) -> float:
-    """Regularized upper incomplete gamma, by series below and continued fraction above a + 1."""
-    from math import exp, lgamma, log
+    """Regularized upper incomplete gamma, by series below and continued fraction above a + 1.
 
+    Both go on until they no longer change; their number of terms grows with the square root of a.
+    """
     if not a > 0 or x != x:
         return float("nan")
     if x <= 0:
         return 1.0
-    scale = exp(a * log(x) - x - lgamma(a))
+    if x == float("inf"):
+        return 0.0
+    if a < 1e4:
+        log_scale = a * math.log(x) - x - math.lgamma(a)
+    else:  # the same without the difference of large numbers
+        ahead = (x - a) / a
+        log_scale = -a * (ahead - math.log1p(ahead)) + 0.5 * math.log(a / (2 * math.pi)) - 1 / (12 * a)
+    scale = math.exp(log_scale) if log_scale > -745 else 0.0
     if x < a + 1:
-        k = np.arange(1, 2000)
-        return float(1.0 - scale / a * (1.0 + np.cumprod(x / (a + k)).sum()))
-    value = 0.0
-    for i in range(400, 0, -1):
-        value = i * (i - a) / (x + 2 * i + 1 - a - value)
-    return float(scale / (x + 1 - a - value))
+        total, term, k = 1.0, 1.0, 0
+        while term > 1e-17 * total:
+            terms = term * np.cumprod(x / (a + np.arange(k + 1, k + 4097)))
+            total, term, k = total + float(terms.sum()), float(terms[-1]), k + 4096
+        return min(1.0, max(0.0, 1.0 - scale / a * total))
+    # Lentz's form of the continued fraction.
+    tiny = 1e-300
+    base = x + 1 - a
+    c, d = 1 / tiny, 1 / base
+    value, i, change = d, 0, 0.0
+    while abs(change - 1) > 1e-15:
+        i += 1
+        base += 2
+        step = i * (a - i)
+        d, c = step * d + base, base + step / c
+        d, c = 1 / (d if abs(d) > tiny else tiny), (c if abs(c) > tiny else tiny)
+        change = c * d
+        value *= change
+    return min(1.0, max(0.0, scale * value))
 
 
 def chi2_binned(df: DataFrame, value: str, width: float, n_bins: int) -> DataFrame:

@@ -13,15 +13,17 @@ from spanforge.functions import index
 from spanforge.operators.ordered import KEYS, Oversize, find_oversize, running_sum, with_position
 from spanforge.session import checkpoint, row_limit
 
-# Steps of one sequence that a kernel segmentation task looks at together; the
-# kernel of a block takes 8 * BLOCK**2 bytes.
-BLOCK = 2048
-BANDWIDTH_SAMPLE = 1000
-# Items of one group that are packed into a row and folded there.
+# Rows of a kernel that are computed at once.
+STRIP = 256
+# Distances that may be sorted at once when the middle one is looked for.
+SORTED_GAPS = 1 << 22
+# Items of one group that are packed into a row and folded there; more only after the reduction of large groups.
 FOLD_ROWS = 20_000
-# Value-curve cells kept at once for the exact choice, and the largest capacity it is made for.
+REDUCED_ROWS = 2_000_000
+# Value-curve cells kept at once for the exact choice, the longest full curve, and the longest list of undominated choices.
 KEPT_CELLS = 1 << 22
-EXACT_CAPACITY = 10_000_000
+CURVE_CELLS = 10_000_000
+UNDOMINATED = 20_000_000
 
 
 # ---- scores ----------------------------------------------------------------
@@ -91,69 +93,130 @@ def segment_uniform(
 
 def segment_score(frames: DataFrame, segments: DataFrame, at: str = "step") -> DataFrame:
     """Mean score and length of given segments; an empty one scores 0 with length 1."""
-    from spanforge.operators.joins import interval_join
+    from spanforge.operators.joins import interval_hits
 
-    joined = interval_join(segments, frames.select(*KEYS, at, "gtscore"), at)
-    return joined.groupBy(*KEYS, "shot_idx").agg(
-        F.coalesce(F.avg("gtscore"), F.lit(0.0)).alias("score"),
-        F.greatest(F.count(at), F.lit(1)).alias("length"),
+    hits = interval_hits(segments, frames.select(*KEYS, at, "gtscore"), at)
+    found = hits.groupBy(*KEYS, "shot_idx").agg(F.avg("gtscore").alias("score"), F.count(at).alias("length"))
+    out = segments.select(*KEYS, "shot_idx").join(found, [*KEYS, "shot_idx"], "left")
+    return out.select(
+        *KEYS,
+        "shot_idx",
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.greatest(F.coalesce("length", F.lit(0)), F.lit(1)).cast("long").alias("length"),
     )
 
 
-def gaussian_kernel(x: np.ndarray, sigma: float) -> np.ndarray:
+def kernel_sum(x: np.ndarray, sigma: float) -> float:
+    """Sum of the Gaussian kernel over all pairs of rows, in strips."""
     norms = (x * x).sum(axis=1)
-    gaps = norms[:, None] + norms[None, :] - 2.0 * (x @ x.T)
-    return np.exp(-gaps / (2.0 * sigma * sigma))
+    total = 0.0
+    for at in range(0, len(x), STRIP):
+        gaps = norms[at : at + STRIP, None] + norms[None, :] - 2.0 * (x[at : at + STRIP] @ x.T)
+        total += float(np.exp(-gaps / (2.0 * sigma * sigma)).sum())
+    return total
 
 
-def _median_gap(x: np.ndarray) -> float:
+def _gap_strips(x: np.ndarray) -> Iterator[np.ndarray]:
+    """Non-zero distances of all pairs, some rows of the triangle at a time."""
     norms = (x * x).sum(axis=1)
-    gaps = np.sqrt(np.maximum(norms[:, None] + norms[None, :] - 2.0 * (x @ x.T), 0.0))
-    np.fill_diagonal(gaps, 0.0)
-    gaps = gaps[gaps > 0]
-    return float(np.median(gaps)) if gaps.size else 1.0
+    for at in range(0, len(x), STRIP):
+        own = x[at : at + STRIP]
+        gaps = np.maximum(norms[at : at + STRIP, None] + norms[None, at:] - 2.0 * (own @ x[at:].T), 0.0)
+        gaps = np.sqrt(gaps[np.triu_indices(len(own), 1, len(x) - at)])
+        yield gaps[gaps > 0]
 
 
-def median_bandwidth(frames: DataFrame, seed: int = 42) -> DataFrame:
-    """Median non-zero distance between the vectors of a group.
+def _median_gap(x: np.ndarray) -> float:
+    """Exact median of the non-zero distances; 1 if there is none.
 
-    Groups above the sample size use a deterministic md5-ordered sample; the
-    draw is limited before the shuffle, so a task never sees more than the sample.
+    Positive doubles sort like their bits, so the middle is found digit by digit: every pass counts the next 16 bits
+    of the distances that are still candidates, until few enough are left to be sorted.
+    """
+    low, high, shift, below = 0, 0xFFFF, 48, 0
+    total = None
+    while True:
+        counts = np.zeros(high - low + 1, np.int64)
+        for gaps in _gap_strips(x):
+            digits = (gaps.view(np.uint64) >> np.uint64(shift)).astype(np.int64) - low
+            counts += np.bincount(digits[(digits >= 0) & (digits < len(counts))], minlength=len(counts))
+        if total is None:
+            total = int(counts.sum())
+            if total == 0:
+                return 1.0
+        ends = below + np.cumsum(counts)
+        first, last = (int(np.searchsorted(ends, r, side="right")) for r in ((total - 1) // 2, total // 2))
+        if first != last or shift == 0 or counts[first] <= SORTED_GAPS:
+            break
+        below = int(ends[first] - counts[first])
+        low, high, shift = (low + first) << 16, ((low + first) << 16) + 0xFFFF, shift - 16
+    below = int(ends[first] - counts[first])
+    kept = []
+    for gaps in _gap_strips(x):
+        digits = (gaps.view(np.uint64) >> np.uint64(shift)).astype(np.int64) - low
+        kept.append(gaps[(digits == first) | (digits == last)])
+    kept = np.concatenate(kept)
+    spots = [(total - 1) // 2 - below, total // 2 - below - int(counts[first + 1 : last].sum())]
+    kept.partition(spots)
+    return float((kept[spots[0]] + kept[spots[1]]) / 2)
+
+
+def median_bandwidth(frames: DataFrame, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """Median non-zero distance between the vectors of a group, over all pairs.
+
+    Pairs are looked at in strips inside the group's task and never become rows. With ``sample`` only so
+    many steps of a group are drawn, in md5 order and before the shuffle.
     """
     from spanforge.operators.sampling import draw_key
 
-    w = Window.partitionBy(*KEYS).orderBy(draw_key(seed, columns=[*KEYS, "step"]), "step")
-    sample = (
-        frames.select(*KEYS, "step", "feature")
-        .withColumn("_rank", F.row_number().over(w))
-        .filter(F.col("_rank") <= BANDWIDTH_SAMPLE)
-        .select(*KEYS, "feature")
-    )
+    own = frames.select(*KEYS, "step", "feature")
+    if sample is not None:
+        w = Window.partitionBy(*KEYS).orderBy(draw_key(seed, columns=[*KEYS, "step"]), "step")
+        own = own.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= sample)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(group["feature"].to_numpy()).astype("float64")
         return pd.DataFrame({**{k: [group[k].iloc[0]] for k in KEYS}, "sigma": [_median_gap(x)]})
 
-    return sample.groupBy(*KEYS).applyInPandas(one, "dataset string, video_id string, sigma double")
-
-
-def best_cuts(kernel: np.ndarray, n_segments: int, min_len: int = 1) -> list[int]:
-    """Starts of the segments that maximize the sum of kernel mass over length."""
-    n = kernel.shape[0]
-    total = np.zeros((n + 1, n + 1))
-    total[1:, 1:] = kernel.cumsum(axis=0).cumsum(axis=1)
-    corner = np.diagonal(total)
-    at = np.arange(n + 1)
-    span = at[:, None] - at[None, :]  # span[end, start]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = (corner[:, None] + corner[None, :] - total - total.T) / span
-    gain[span < min_len] = -np.inf
-    best = gain[:, 0].copy()
+    return own.select(*KEYS, "feature").groupBy(*KEYS).applyInPandas(one, "dataset string, video_id string, sigma double")
+
+
+def _gains(x: np.ndarray, sigma: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For every end e the kernel mass over length of all segments [s, e), s < e.
+
+    The mass of [s, e) is that of [s, e - 1) and what the row of e - 1 adds, so one vector follows from the one
+    before and no square matrix is kept.
+    """
+    n = len(x)
+    mass = np.zeros(n)
+    norms = (x * x).sum(axis=1)
+    for at in range(0, n, STRIP):
+        own = x[at : at + STRIP]
+        gaps = norms[at : at + STRIP, None] + norms[None, :] - 2.0 * (own @ x.T)
+        strip = np.exp(-gaps / (2.0 * sigma * sigma))
+        for row, last in zip(strip, range(at, at + len(own)), strict=True):
+            added = 2.0 * np.cumsum(row[last::-1])[::-1] - row[last]
+            mass[: last + 1] += added
+            yield last + 1, mass[: last + 1] / np.arange(last + 1, 0, -1)
+
+
+def best_cuts(x: np.ndarray, sigma: float, n_segments: int, min_len: int = 1) -> list[int]:
+    """Starts of the segments that maximize the sum of kernel mass over length.
+
+    Quadratic in time for each number of segments, by definition; the memory is steps times segments.
+    """
+    n = len(x)
+    best = np.full((n_segments, n + 1), -np.inf)
     origin = np.zeros((n_segments, n + 1), dtype=np.int32)
-    for k in range(1, n_segments):
-        through = gain + best[None, :]
-        origin[k] = through.argmax(axis=1)
-        best = through[at, origin[k]]
+    for end, gain in _gains(x, sigma):
+        usable = end - min_len + 1
+        if usable <= 0:
+            continue
+        best[0, end] = gain[0]
+        for k in range(1, n_segments, 64):  # some numbers of segments at a time
+            through = best[k - 1 : min(k + 63, n_segments - 1), :usable] + gain[:usable]
+            at = through.argmax(axis=1)
+            origin[k : k + len(at), end] = at
+            best[k : k + len(at), end] = through[np.arange(len(at)), at]
     cuts, end = [], n
     for k in range(n_segments - 1, 0, -1):
         end = int(origin[k, end])
@@ -162,24 +225,23 @@ def best_cuts(kernel: np.ndarray, n_segments: int, min_len: int = 1) -> list[int
 
 
 def segment_by_kernel(
-    frames: DataFrame, steps_per_segment: int = 10, min_len: int = 1, block: int = BLOCK
+    frames: DataFrame, steps_per_segment: int = 10, min_len: int = 1, block: int | None = None
 ) -> DataFrame:
     """Change points of vector sequences; inclusive [start, end] per segment.
 
-    Up to ``block`` steps a sequence is solved as one. Longer sequences are
-    solved block by block (cuts are forced at block borders), which keeps the
-    quadratic kernel bounded however long one sequence gets.
+    Sequences of any length are solved as one. Only where the caller asks for ``block`` are cuts
+    forced at every so many steps.
     """
-    sized = with_group_size(frames.select(*KEYS, "step", "feature"), "n_steps", None)
-    sized = sized.join(median_bandwidth(frames), list(KEYS))
-    sized = sized.withColumn("block", F.floor(F.col("step") / block).cast("long"))
+    sized = frames.select(*KEYS, "step", "feature").join(median_bandwidth(frames), list(KEYS))
+    part = F.lit(0) if block is None else F.floor(F.col("step") / block)
+    sized = sized.withColumn("block", part.cast("long"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("step")
         x = np.stack(group["feature"].to_numpy()).astype("float64")
         n = len(x)
         wanted = max(1, min(n // steps_per_segment, n // min_len))
-        starts = best_cuts(gaussian_kernel(x, float(group["sigma"].iloc[0])), wanted, min_len)
+        starts = best_cuts(x, float(group["sigma"].iloc[0]), wanted, min_len)
         base = int(group["step"].iloc[0])
         return pd.DataFrame(
             {
@@ -198,8 +260,8 @@ def segment_by_kernel(
 def segment_kernel_mass(frames: DataFrame, shots_per_task: int = 64) -> DataFrame:
     """Kernel mass over length of given segments: all frame pairs inside a segment.
 
-    ``frames`` carries ``shot_idx``, ``feature`` and ``sigma``. Pairs live inside one
-    matrix product per segment and are never emitted as rows.
+    ``frames`` carries ``shot_idx``, ``feature`` and ``sigma``. Pairs live inside strips of a
+    matrix product and are never emitted as rows.
     """
     cut = frames.withColumn("_part", F.floor(F.col("shot_idx") / shots_per_task).cast("long"))
 
@@ -207,7 +269,7 @@ def segment_kernel_mass(frames: DataFrame, shots_per_task: int = 64) -> DataFram
         rows = []
         for shot, part in group.groupby("shot_idx"):
             x = np.stack(part["feature"].to_numpy()).astype("float64")
-            mass = gaussian_kernel(x, float(part["sigma"].iloc[0])).sum()
+            mass = kernel_sum(x, float(part["sigma"].iloc[0]))
             rows.append((*[part[k].iloc[0] for k in KEYS], int(shot), len(x), float(mass / len(x))))
         return pd.DataFrame(rows, columns=[*KEYS, "shot_idx", "length", "mass"])
 
@@ -225,20 +287,28 @@ def fold_limit(spark: SparkSession) -> int:
 def _best_subset(weights: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
     """0/1 choice of maximal value; of equal choices the later item stays out.
 
-    Only every s-th row of value curves is kept and the rows between are redone
-    on the way back, so memory grows with the square root of the item count.
+    The best value for every capacity is a step function. Short ones are kept as full curves, long ones as lists of the
+    weights at which they rise; both give the same choice. Only every s-th function is kept and those between
+    are redone on the way back, so memory grows with the square root of the item count.
     """
     n = len(weights)
     chosen = np.zeros(n, dtype=bool)
-    if capacity <= 0 or n == 0:
+    capacity = min(int(capacity), int(weights.sum())) if n else 0
+    if capacity <= 0:
         return chosen
-    stride = n if n * (capacity + 1) <= KEPT_CELLS else max(1, int(np.sqrt(n)))
-    curve, kept = np.zeros(capacity + 1), {}
-    rows = [curve]
+    unit = int(np.gcd.reduce(weights[weights > 0]))
+    weights, capacity = weights // unit, capacity // unit
+    full = capacity < CURVE_CELLS
+    add = _add_item if full else lambda steps, w, v: _add_step(steps, w, v, capacity)
+    at = (lambda c, left: c[left]) if full else lambda c, left: c[1][np.searchsorted(c[0], left, side="right") - 1]
+    cells = n * (capacity + 1) if full else 1 << 62
+    stride = n if cells <= KEPT_CELLS else max(1, int(np.sqrt(n)))
+    curve = np.zeros(capacity + 1) if full else (np.zeros(1, np.int64), np.zeros(1))
+    kept, rows = {}, [curve]
     for i in range(n):
         if i % stride == 0:
             kept[i], rows = curve, [curve]
-        curve = _add_item(curve, weights[i], values[i])
+        curve = add(curve, weights[i], values[i])
         rows.append(curve)
     left = capacity
     for base in sorted(kept, reverse=True):
@@ -246,9 +316,9 @@ def _best_subset(weights: np.ndarray, values: np.ndarray, capacity: int) -> np.n
         if stop < n:
             rows = [kept[base]]
             for i in range(base, stop):
-                rows.append(_add_item(rows[-1], weights[i], values[i]))
+                rows.append(add(rows[-1], weights[i], values[i]))
         for i in range(stop - 1, base - 1, -1):
-            if rows[i - base + 1][left] != rows[i - base][left]:
+            if at(rows[i - base + 1], left) != at(rows[i - base], left):
                 chosen[i] = True
                 left -= int(weights[i])
     return chosen
@@ -261,6 +331,19 @@ def _add_item(curve: np.ndarray, weight: int, value: float) -> np.ndarray:
     return after
 
 
+def _add_step(steps: tuple[np.ndarray, np.ndarray], weight: int, value: float, capacity: int):
+    """The list of (weight, value) pairs that no lighter pair beats, with one more item."""
+    fits = steps[0] <= capacity - weight
+    w = np.concatenate([steps[0], steps[0][fits] + weight])
+    v = np.concatenate([steps[1], steps[1][fits] + value])
+    order = np.lexsort((-v, w))
+    w, v = w[order], v[order]
+    rises = np.append(True, v[1:] > np.maximum.accumulate(v)[:-1])
+    if rises.sum() > UNDOMINATED:
+        raise ValueError(f"more than {UNDOMINATED} undominated choices: this group can't be solved exactly")
+    return w[rises], v[rises]
+
+
 def exact_ids(items: str, weights: str, values: str, capacity: str) -> Column:
     """Chosen ids of one group's arrays; rows of many groups share an Arrow batch."""
 
@@ -291,24 +374,23 @@ def select_under_budget(
     ``items`` has integer ``weight``, ``value`` and the group's ``capacity``. In an oversize
     group at most floor(capacity / w) items of weight w can be taken, and they are the most
     valuable ones; the rest is dropped before the group is folded, without changing the optimum.
-    A capacity above ``EXACT_CAPACITY`` is out of reach of the exact method; such a group
-    gets the greedy selection.
+    A group that is still too large for one task, or whose choices are too many to be
+    kept, stops with an error; it never gets another algorithm.
     """
     over = over or find_oversize(items, keys, fold_limit(items.sparkSession))
     rest, big = over.split(items, keys)
-    huge = None
-    if big is not None:
-        huge = big.filter(F.col("capacity") > EXACT_CAPACITY)
-        big = big.filter(F.col("capacity") <= EXACT_CAPACITY)
     if big is not None:
         classes = [*keys, "weight"]
         placed = with_position(big, classes, [F.desc("value"), F.col(item)], "_r")
         useful = placed.filter((F.col("_r") + 1) * F.col("weight") <= F.col("capacity")).drop("_r")
-        rest = useful if rest is None else rest.unionByName(useful)
+        useful = checkpoint(useful.select(*keys, item, "weight", "value", "capacity"))
+        largest = useful.groupBy(*keys).count().filter(F.col("count") > REDUCED_ROWS).first()
+        if largest is not None:
+            raise ValueError(f"{largest['count']} useful items in group {[largest[k] for k in keys]}: too many to choose exactly")
+        rest = useful if rest is None else rest.select(*useful.columns).unionByName(useful)
     rows = _in_one_row(rest.select(*keys, item, "weight", "value", "capacity"), keys, item)
     chosen = exact_ids(f"_items.{item}", "_items.weight", "_items.value", "capacity")
-    out = rows.select(*keys, F.explode(chosen).alias(item))
-    return out if huge is None else out.unionByName(select_greedy(huge, keys, item, over))
+    return rows.select(*keys, F.explode(chosen).alias(item))
 
 
 def _efficiency(value: Column, weight: Column) -> Column:

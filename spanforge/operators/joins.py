@@ -16,7 +16,14 @@ from spanforge.operators.ordered import (
     running_sum,
     with_position,
 )
-from spanforge.session import BROADCAST_ROWS
+from spanforge.session import BROADCAST_BYTES, BROADCAST_ROWS
+
+
+def fits_broadcast(side: DataFrame) -> bool:
+    """Whether a side has few rows and few bytes; no more than the rows allowed are looked at."""
+    size = F.octet_length(F.to_json(F.struct(*side.columns)))
+    rows, used = side.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and used <= BROADCAST_BYTES
 
 
 def lookup_join(
@@ -29,9 +36,9 @@ def lookup_join(
     """Attach the one matching row of ``videos``.
 
     Without defaults unmatched rows are dropped. ``small`` asks for a broadcast, granted only
-    after counting the side.
+    after rows and bytes of the side have been counted.
     """
-    if small and videos.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if small and fits_broadcast(videos):
         videos = F.broadcast(videos)
     if default is None:
         return rows.join(videos, list(keys))
@@ -48,27 +55,33 @@ def positional_join(
     return a.join(b, [*KEYS, "pos"])
 
 
-def interval_join(segments: DataFrame, points: DataFrame, at: str, width: int = 64) -> DataFrame:
-    """Points with ``start <= at <= end`` beside each segment; empty segments stay.
+def interval_hits(segments: DataFrame, points: DataFrame, at: str, width: int = 64) -> DataFrame:
+    """(group, shot_idx) with every point for which ``start <= at <= end``.
 
     The equality is on (group, bucket of ``width``), so a single group spreads over many
-    tasks and never meets all its points at once.
+    tasks and never meets all its points at once. A width near the mean length of a segment keeps both the buckets
+    of a segment and the points of a bucket few.
     """
     bucket = lambda c: F.floor(F.col(c) / width).cast("long")
     spread = segments.withColumn(
         "_b", F.explode(F.when(F.col("end") >= F.col("start"), F.sequence(bucket("start"), bucket("end"))).otherwise(F.array(bucket("start"))))
     )
-    hits = spread.select(*KEYS, "shot_idx", "start", "end", "_b").join(
+    return spread.select(*KEYS, "shot_idx", "start", "end", "_b").join(
         points.withColumn("_b", bucket(at)), [*KEYS, "_b"]
     ).filter((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end"))).drop("_b", "start", "end")
-    return segments.join(hits, [*KEYS, "shot_idx"], "left")
+
+
+def interval_join(segments: DataFrame, points: DataFrame, at: str, width: int = 64) -> DataFrame:
+    """Segments with their :func:`interval_hits`; empty segments stay."""
+    return segments.join(interval_hits(segments, points, at, width), [*KEYS, "shot_idx"], "left")
 
 
 def count_per_shot(segments: DataFrame, picks: DataFrame) -> DataFrame:
-    """Number of sampled frames per segment, zero for empty ones."""
-    return interval_join(segments.select(*KEYS, "shot_idx", "start", "end"), picks.select(*KEYS, "pick"), "pick").groupBy(
-        *KEYS, "shot_idx"
-    ).agg(F.count("pick").alias("n_sampled"))
+    """Number of sampled frames per segment, zero for empty ones; hits are counted before they meet the segments again."""
+    spans = segments.select(*KEYS, "shot_idx", "start", "end")
+    counted = interval_hits(spans, picks.select(*KEYS, "pick"), "pick").groupBy(*KEYS, "shot_idx").agg(F.count(F.lit(1)).alias("n"))
+    out = spans.select(*KEYS, "shot_idx").join(counted, [*KEYS, "shot_idx"], "left")
+    return out.select(*KEYS, "shot_idx", F.coalesce("n", F.lit(0)).cast("long").alias("n_sampled"))
 
 
 def position_to_shot(
@@ -83,10 +96,20 @@ def position_to_shot(
         (F.col("_hi") - 1).alias("end"),
     )
     wanted = positions.select(*KEYS, (F.col("pos") - 1).alias("at")).distinct()
-    hit = interval_join(spans, wanted, "at", width).filter(F.col("at").isNotNull())
+    hit = interval_hits(spans, wanted, "at", width)
     return hit.select(*KEYS, "shot_idx").distinct()
 
 
+def representative_shots(positions: DataFrame, n_shots: DataFrame) -> DataFrame:
+    """Answered frames where every shot shows one frame: frame i stands for shot i - 1, in range and once.
+
+    ``n_shots`` has one row per group with ``n_shots``.
+    """
+    shot = positions.select(*KEYS, (F.col("pos") - 1).alias("shot_idx")).distinct()
+    inside = shot.join(n_shots, list(KEYS)).filter((F.col("shot_idx") >= 0) & (F.col("shot_idx") < F.col("n_shots")))
+    return inside.select(*KEYS, "shot_idx")
+
+
 def band_semi_join(picks: DataFrame, selected: DataFrame, tolerance: int = 15) -> DataFrame:
     """Picks with any selected frame within ``tolerance``, per user.
 

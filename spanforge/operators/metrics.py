@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators.aggregates import macro_avg, ratio
 from spanforge.operators.joins import chain_join, overlap_join
-from spanforge.operators.ordered import KEYS, Oversize, first_rows, running_sum
+from spanforge.operators.ordered import KEYS, Oversize, running_sum, with_position
 
 
 # ---- sets ------------------------------------------------------------------
@@ -165,9 +165,10 @@ def temporal_gt_scores(items: DataFrame, index: str = "orig_pos", keys: Sequence
     return items.join(last, list(keys)).withColumn("gt_score", (F.col("_last") - F.col(index)).cast("double")).drop("_last")
 
 
-def rank_from_wins(wins: DataFrame, n_items: int) -> DataFrame:
-    """Items by wins, earlier item first on ties; groups are sampled tasks of at most ``n_items``."""
-    return first_rows(wins, KEYS, [F.desc("wins"), F.col("orig_pos")], n_items, "rank")
+def rank_from_wins(wins: DataFrame, over: Oversize | None = None) -> DataFrame:
+    """Every item by wins, earlier item first on ties; the first has rank 1."""
+    placed = with_position(wins, KEYS, [F.desc("wins"), F.col("orig_pos")], "rank", over)
+    return placed.withColumn("rank", F.col("rank") + 1)
 
 
 # ---- alignment chains ------------------------------------------------------

@@ -76,19 +76,17 @@ def parse_assignments(
     raw = F.col("raw_output")
     if strict:
         head = head.removesuffix("*") + "+"
-        start, stop, body = head, rf"{head}\d+\s*:", "(.*?)"
+        stop, body = rf"{head}\d+\s*:", "(.*?)"
     else:
-        start, stop, body = head, rf"{head}\d", "(.+?)"
-
-    def pattern(k: Column) -> Column:
-        return F.concat(F.lit(f"(?is){start}"), k.cast("string"), F.lit(rf"\s*:\s*{body}(?={stop}|$)"))
+        stop, body = rf"{head}\d", "(.+?)"
+    # The body is captured ahead of the match, so one pass finds every head, also inside the body of another.
+    pattern = F.lit(rf"(?is){head}(\d+)(?=\s*:\s*{body}(?={stop}|$))")
+    every = [F.regexp_extract_all(raw, pattern, F.lit(i)).alias(n) for i, n in ((1, "k"), (2, "part"))]
+    outputs = outputs.withColumn("_h", F.arrays_zip(*every))
 
     def part(k: Column) -> Column:
-        found = F.call_function("regexp_extract", raw, pattern(k), F.lit(1))
-        fields = [k.alias("k"), found.alias("part")]
-        if strict:
-            fields.append(F.regexp(raw, pattern(k)).alias("hit"))
-        return F.struct(*fields)
+        first = F.get(F.filter("_h", lambda h: h["k"] == k.cast("string")), F.lit(0))
+        return F.struct(k.alias("k"), F.coalesce(first["part"], F.lit("")).alias("part"), first.isNotNull().alias("hit"))
 
     def line(x: Column) -> Column:
         present = x["hit"] if strict else x["part"] != ""
@@ -121,7 +119,7 @@ def parse_assignments(
     failures = F.array_compact(F.transform("lines", lambda x: x["reason"]))
     out = out.withColumns({"nonempty_count": nonempty, "failure_reasons": failures})
     ok = F.col("all_present") & (F.col("nonempty_count") == F.col("n_lines")) if strict else F.col("all_present")
-    return out.withColumn("format_ok", ok).drop("_l", "all_present")
+    return out.withColumn("format_ok", ok).drop("_l", "_h", "all_present")
 
 
 def assignment_rows(parsed: DataFrame) -> DataFrame:

@@ -55,16 +55,26 @@ def wasserstein_1d(spark, sf):
     return rounded(dist.wasserstein_1d(prices(spark, sf), "v"))
 
 
-EDGES = """edges AS (SELECT CAST(i AS BIGINT) AS bin, i * 2500.5::DOUBLE AS lo, (i + 1) * 2500.5::DOUBLE AS hi FROM range(30) t(i))"""
+WIDTH = 2500.5
+
+
+def bins_to(df, value, width):
+    """As many bins as hold the largest value."""
+    return int(df.agg(F.floor(F.max(value) / F.lit(width))).first()[0] or 0) + 1
+
+
+EDGES = """n_bins AS (SELECT CAST(floor(max(v) / 2500.5::DOUBLE) AS BIGINT) + 1 AS n FROM rows),
+edges AS (SELECT bin, bin * 2500.5::DOUBLE AS lo, (bin + 1) * 2500.5::DOUBLE AS hi FROM (SELECT unnest(range(0, n)) AS bin FROM n_bins))"""
 BINS = """
 bins AS (SELECT bin, count(v) AS n_full, CAST(coalesce(sum(in_subset), 0) AS BIGINT) AS n_sub FROM edges LEFT JOIN rows
-  ON v >= lo AND (v < hi OR (bin = 29 AND v = hi)) GROUP BY bin)
+  ON v >= lo AND v < hi GROUP BY bin)
 """
 
 
 @query("histogram", with_ctes(PRICES, EDGES, BINS, body="SELECT * FROM bins"))
 def histogram(spark, sf):
-    return dist.histogram(prices(spark, sf), "v", 2500.5, 30)
+    rows = prices(spark, sf)
+    return dist.histogram(rows, "v", WIDTH, bins_to(rows, "v", WIDTH))
 
 
 @query(
@@ -79,6 +89,12 @@ def histogram_integer_edges(spark, sf):
     return dist.histogram(prices(spark, sf), "q", 5.0, 10)
 
 
+def tail_sql(stat, df):
+    """Upper tail of the chi-squared distribution: one minus the converging series of the lower gamma function."""
+    term = f"exp(({df} / 2.0 + k) * ln({stat} / 2.0) - {stat} / 2.0 - lgamma({df} / 2.0 + 1 + k))"
+    return f"greatest(0, 1 - list_sum(list_transform(range(0, CAST({stat} + 2000 AS BIGINT)), lambda k: {term})))"
+
+
 @query(
     "chi2_binned",
     with_ctes(
@@ -94,20 +110,32 @@ def histogram_integer_edges(spark, sf):
             CASE WHEN w.e + b.n_full * k >= 5 THEN grp + 1 ELSE grp END, w.o + n_sub, w.e + b.n_full * k
           FROM walk w JOIN bins b ON b.bin = w.nxt, sc)""",
         """groups AS (SELECT grp, max(co) FILTER (WHERE e = 0) AS o, max(ce) FILTER (WHERE e = 0) AS e FROM walk WHERE nxt > 0 AND e = 0 AND ce >= 5 GROUP BY grp)""",
-        """rest AS (SELECT o, e FROM walk WHERE nxt = 30)""",
+        """rest AS (SELECT o, e FROM walk WHERE nxt = (SELECT n FROM n_bins))""",
         """merged AS (SELECT g.grp, g.o + CASE WHEN g.grp = (SELECT max(grp) FROM groups) THEN (SELECT o FROM rest) ELSE 0 END AS o,
              g.e + CASE WHEN g.grp = (SELECT max(grp) FROM groups) THEN (SELECT e FROM rest) ELSE 0 END AS e FROM groups g)""",
         """scaled AS (SELECT o, e * (SELECT sum(o) / sum(e) FROM merged) AS e FROM merged)""",
-        body=f"SELECT {R6('sum((o - e) * (o - e) / e)')} AS chi2, count(*) - 1 AS df FROM scaled",
+        """tested AS (SELECT sum((o - e) * (o - e) / e) AS chi2, count(*) - 1 AS df FROM scaled)""",
+        body=f"SELECT {R6('chi2')} AS chi2, df, {R6(tail_sql('chi2', 'df'))} AS p_value FROM tested",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def chi2_binned(spark, sf):
-    return rounded(dist.chi2_binned(prices(spark, sf), "v", 2500.5, 30).drop("p_value"))
+    rows = prices(spark, sf)
+    return rounded(dist.chi2_binned(rows, "v", WIDTH, bins_to(rows, "v", WIDTH)))
 
 
-@query("chi2_p_value")
+@query(
+    "chi2_p_value",
+    with_ctes(
+        PRICES,
+        """kinds AS (SELECT CAST(q AS BIGINT) AS bin, count(*) AS f, sum(in_subset) AS s FROM rows GROUP BY 1)""",
+        """t AS (SELECT sum(f)::DOUBLE AS f, sum(s)::DOUBLE AS s FROM kinds)""",
+        """tested AS (SELECT sum(power(k.s - k.f / t.f * t.s, 2) / (k.f / t.f * t.s)) AS chi2, count(*) - 1 AS df FROM kinds k, t)""",
+        body=f"SELECT {R6('chi2')} AS chi2, df, {R6(tail_sql('chi2', 'df'))} AS p_value FROM tested",
+    ),
+)
 def chi2_p_value(spark, sf):
-    return dist.chi2_binned(prices(spark, sf), "v", 2500.5, 30)
+    rows = prices(spark, sf).select(F.col("q").cast("long").alias("label"), "in_subset")
+    return rounded(dist.category_divergence(dist.category_counts(rows)).drop("jsd"))
 
 
 def labelled(spark, sf):
@@ -164,12 +192,13 @@ def top_categories(spark, sf):
         LABELLED,
         """t AS (SELECT sum(n_full)::DOUBLE AS f, sum(n_sub)::DOUBLE AS s FROM cats)""",
         """pq AS (SELECT n_sub, n_full / f * s AS e, n_sub / s AS p, n_full / f AS q FROM cats, t)""",
-        body=f"""SELECT {R6("sum((n_sub - e) * (n_sub - e) / e)")} AS chi2, count(*) - 1 AS df,
-        {R6("0.5 * sum(p * ln(p / (0.5 * (p + q) + 1e-12) + 1e-12)) + 0.5 * sum(q * ln(q / (0.5 * (p + q) + 1e-12) + 1e-12))")} AS jsd FROM pq""",
+        """tested AS (SELECT sum((n_sub - e) * (n_sub - e) / e) AS chi2, count(*) - 1 AS df FROM pq)""",
+        body=f"""SELECT {R6("any_value(chi2)")} AS chi2, any_value(df) AS df, {R6(tail_sql("any_value(chi2)", "any_value(df)"))} AS p_value,
+        {R6("0.5 * sum(p * ln(p / (0.5 * (p + q) + 1e-12) + 1e-12)) + 0.5 * sum(q * ln(q / (0.5 * (p + q) + 1e-12) + 1e-12))")} AS jsd FROM pq, tested""",
     ),
 )
 def category_divergence(spark, sf):
-    return rounded(dist.category_divergence(labelled(spark, sf)).drop("p_value"))
+    return rounded(dist.category_divergence(labelled(spark, sf)))
 
 
 @query("missing_members", with_ctes(LABELLED, body="SELECT label FROM cats WHERE n_sub = 0"))

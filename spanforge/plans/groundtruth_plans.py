@@ -17,7 +17,7 @@ from spanforge.sources.views import FEATURE_FRAMES, FRAMES, ORDER_LINES, SEGMENT
     "votes_to_score",
     with_ctes(
         VOTES,
-        """picks AS (SELECT video_id, unnest(range(0, 2000)) AS pick FROM (SELECT DISTINCT video_id FROM votes))""",
+        """picks AS (SELECT video_id, unnest(range(0, last + 1)) AS pick FROM (SELECT video_id, max(frame) AS last FROM votes GROUP BY video_id))""",
         """users AS (SELECT video_id, count(DISTINCT user_id) AS n FROM votes GROUP BY video_id)""",
         body=f"""SELECT p.video_id, p.pick, {R6("count(v.user_id) / any_value(u.n)")} AS gtscore FROM picks p
         JOIN users u USING (video_id) LEFT JOIN votes v ON v.video_id = p.video_id AND v.frame = p.pick GROUP BY p.video_id, p.pick""",
@@ -25,8 +25,8 @@ from spanforge.sources.views import FEATURE_FRAMES, FRAMES, ORDER_LINES, SEGMENT
 )
 def votes_to_score(spark, sf):
     votes = views.votes(spark, sf)
-    grid = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1999).cast("long"))).alias("step")
-    picks = votes.select(*KEYS).distinct().select(*KEYS, grid).withColumn("pick", F.col("step"))
+    grid = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("step")
+    picks = views.last_frames(votes).select(*KEYS, grid).withColumn("pick", F.col("step"))
     out = gt.votes_to_score(picks, votes, votes.select(*KEYS, "user_id"))
     return out.select("video_id", "pick", r6("gtscore").alias("gtscore"))
 
@@ -35,18 +35,20 @@ def votes_to_score(spark, sf):
     "project_votes",
     with_ctes(
         VOTES,
-        """picks AS (SELECT video_id, unnest(range(0, 120)) AS step FROM (SELECT DISTINCT video_id FROM votes))""",
-        """valid AS (SELECT video_id, (step * 37) % 2400 AS pick,
-             row_number() OVER (PARTITION BY video_id ORDER BY step) - 1 AS packed FROM picks WHERE (step * 37) % 2400 < 1500)""",
+        """lasts AS (SELECT video_id, max(frame) AS last FROM votes GROUP BY video_id)""",
+        """picks AS (SELECT video_id, last, unnest(range(0, last + 1)) AS step FROM lasts)""",
+        """valid AS (SELECT video_id, (step * 37) % (last + 101) AS pick,
+             row_number() OVER (PARTITION BY video_id ORDER BY step) - 1 AS packed FROM picks WHERE (step * 37) % (last + 101) <= last)""",
         body="""SELECT v.video_id, user_id, packed AS step FROM valid v JOIN votes o ON o.video_id = v.video_id AND o.frame = v.pick""",
     ),
 )
 def project_votes(spark, sf):
     votes = views.votes(spark, sf)
-    videos = votes.select(*KEYS).distinct()
-    grid = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(119).cast("long"))).alias("step")
-    picks = videos.select(*KEYS, grid).withColumn("pick", F.col("step") * 37 % 2400)
-    out = gt.project_votes(picks, votes, videos.withColumn("n_frames", F.lit(1500)))
+    lasts = views.last_frames(votes)
+    grid = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("step")
+    # Picks in another order than the steps, some beyond the annotated length.
+    picks = lasts.select(*KEYS, "last", grid).select(*KEYS, "step", (F.col("step") * 37 % (F.col("last") + 101)).alias("pick"))
+    out = gt.project_votes(picks, votes, lasts.select(*KEYS, (F.col("last") + 1).alias("n_frames")))
     return out.select("video_id", "user_id", "step")
 
 
@@ -112,23 +114,21 @@ def line_items(spark, sf):
     ).replace("WITH ", "WITH RECURSIVE ", 1).replace(
         "RECURSIVE_MARK",
         """walk AS (
-      SELECT video_id, 0 AS k, 0::BIGINT AS w, 0::DOUBLE AS v, any_value(n) AS n, any_value(capacity) AS capacity FROM items GROUP BY video_id
+      SELECT video_id, 0 AS k, 0::BIGINT AS w, 0::DOUBLE AS v, 0::BIGINT AS taken, any_value(n) AS n, any_value(capacity) AS capacity FROM items GROUP BY video_id
       UNION ALL
-      SELECT x.video_id, x.k + 1, x.w + t.take * i.weight, x.v + t.take * i.value, x.n, x.capacity
+      SELECT x.video_id, x.k + 1, x.w + t.take * i.weight, x.v + t.take * i.value, x.taken + t.take * (1::BIGINT << x.k), x.n, x.capacity
       FROM walk x JOIN items i ON i.video_id = x.video_id AND i.shot_idx = x.k
       CROSS JOIN (VALUES (0), (1)) t(take)
-      WHERE x.w + t.take * i.weight <= x.capacity OR t.take = 0)""",
+      WHERE x.w + t.take * i.weight <= x.capacity OR t.take = 0),
+    ended AS (SELECT *, max(v) OVER (PARTITION BY video_id) AS most FROM walk WHERE k = n),
+    best AS (SELECT video_id, min(taken) AS taken FROM ended WHERE v = most AND most > 0 GROUP BY video_id)""",
     )
-    + f"""SELECT video_id, {R6("max(v)")} AS best_value FROM walk WHERE k = n GROUP BY video_id HAVING max(v) > 0""",
+    + """SELECT video_id, shot_idx, value FROM items JOIN best USING (video_id) WHERE (taken >> shot_idx) & 1 = 1""",
 )
 def select_under_budget(spark, sf):
     items, over = line_items(spark, sf)
     chosen = gt.select_under_budget(items, over=over)
-    return (
-        items.join(chosen, [*KEYS, "shot_idx"])
-        .groupBy("video_id")
-        .agg(r6(F.sum("value")).alias("best_value"))
-    )
+    return items.join(chosen, [*KEYS, "shot_idx"]).select("video_id", "shot_idx", "value")
 
 
 @query(
@@ -252,19 +252,24 @@ def annotate_ground_truth(spark, sf):
         """ordered AS (SELECT *, CAST(floor(CAST(0.15 AS DOUBLE) * CAST(n_steps AS DOUBLE)) AS BIGINT) AS capacity,
              count(*) OVER (PARTITION BY video_id) AS n FROM segments)""",
         """walk AS (
-      SELECT video_id, 0 AS k, 0::BIGINT AS w, 0::DOUBLE AS v, any_value(n) AS n FROM ordered GROUP BY video_id
+      SELECT video_id, 0 AS k, 0::BIGINT AS w, 0::DOUBLE AS v, 0::BIGINT AS taken, any_value(n) AS n FROM ordered GROUP BY video_id
       UNION ALL
-      SELECT x.video_id, x.k + 1, x.w + t.take * i.n_sampled, x.v + t.take * i.score, x.n
+      SELECT x.video_id, x.k + 1, x.w + t.take * i.n_sampled, x.v + t.take * i.score, x.taken + t.take * (1::BIGINT << x.k), x.n
       FROM walk x JOIN ordered i ON i.video_id = x.video_id AND i.shot_idx = x.k CROSS JOIN (VALUES (0), (1)) t(take)
       WHERE x.w + t.take * i.n_sampled <= i.capacity OR t.take = 0)""",
-        """best AS (SELECT video_id, max(v) AS v FROM walk WHERE k = n GROUP BY video_id)""",
-        body=f"""SELECT video_id, {R6("CASE WHEN b.v > 0 THEN b.v ELSE max(s.score) END")} AS selected_score
-        FROM best b JOIN segments s USING (video_id) GROUP BY video_id, b.v""",
+        """ended AS (SELECT *, max(v) OVER (PARTITION BY video_id) AS most FROM walk WHERE k = n)""",
+        """best AS (SELECT video_id, min(taken) AS taken, any_value(most) AS most FROM ended WHERE v = most GROUP BY video_id)""",
+        """peak AS (SELECT video_id, arg_min(shot_idx, (-score, shot_idx)) AS shot_idx FROM segments GROUP BY video_id HAVING sum(score) > 0)""",
+        body=f"""SELECT s.video_id, s.shot_idx, {R6("score")} AS score FROM segments s JOIN best b USING (video_id) LEFT JOIN peak p ON p.video_id = s.video_id
+        WHERE CASE WHEN most > 0 THEN (taken >> s.shot_idx) & 1 = 1 ELSE s.shot_idx = p.shot_idx END""",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def annotate_ground_truth_exact(spark, sf):
-    out = gt.annotate_ground_truth(views.frames(spark, sf), exact=True)
-    return out.filter("selected = 1").groupBy("video_id").agg(r6(F.sum("score")).alias("selected_score"))
+    limit = gt.annotation_limit(spark)
+    over = find_oversize(views.table(spark, sf, "events"), ["user_id"], limit)
+    over = find_oversize(views.frames(spark, sf), KEYS, limit) if not over.empty else over
+    out = gt.annotate_ground_truth(views.frames(spark, sf, over), exact=True, over=over)
+    return out.filter("selected = 1").select("video_id", "shot_idx", r6("score").alias("score"))
 
 
 # ---- kernels ---------------------------------------------------------------
@@ -302,13 +307,48 @@ def pairwise_kernel(spark, sf):
     return out.select("video_id", "shot_idx", "length", r6("mass").alias("mass"))
 
 
-@query("segment_by_kernel")
+def cuts_sql(steps: int, least: int) -> str:
+    """Best cuts by a recursion over the number of segments; each row carries the best (value, starts) for every end."""
+    return with_ctes(
+        FEATURE_FRAMES,
+        GAPS,
+        f"""sized AS (SELECT video_id, any_value(n_steps) AS n, greatest(1, least(any_value(n_steps) // {steps}, any_value(n_steps) // {least})) AS k FROM feature_frames GROUP BY video_id)""",
+        """pairs AS (SELECT a.video_id, a.step AS i, b.step AS j, exp(-list_sum(list_transform(list_zip(a.feature, b.feature),
+             lambda p: power(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))) / (2 * sigma * sigma)) AS g
+             FROM feature_frames a JOIN feature_frames b USING (video_id) JOIN sigmas USING (video_id))""",
+        # Sums over the corner [0, e) x [0, s) give the mass of every segment.
+        """corners AS (SELECT video_id, i, j, sum(r) OVER (PARTITION BY video_id, j ORDER BY i) AS c
+             FROM (SELECT video_id, i, j, sum(g) OVER (PARTITION BY video_id, i ORDER BY j) AS r FROM pairs))""",
+        """sq AS (SELECT video_id, i + 1 AS e, j + 1 AS s, c FROM corners)""",
+        """spans AS (SELECT video_id, s, unnest(range(s + 1, n + 1)) AS e FROM (SELECT video_id, n, unnest(range(0, n)) AS s FROM sized))""",
+        f"""gains AS (SELECT t.video_id, t.s, t.e, (ee.c + coalesce(ss.c, 0) - 2 * coalesce(es.c, 0)) / (t.e - t.s) AS v
+             FROM spans t JOIN sq ee ON ee.video_id = t.video_id AND ee.e = t.e AND ee.s = t.e
+             LEFT JOIN sq ss ON ss.video_id = t.video_id AND ss.e = t.s AND ss.s = t.s
+             LEFT JOIN sq es ON es.video_id = t.video_id AND es.e = t.e AND es.s = t.s
+             WHERE t.e - t.s >= {least})""",
+        """by_end AS (SELECT video_id, e, list({'s': s, 'v': v} ORDER BY s) AS g FROM gains GROUP BY video_id, e)""",
+        """lists AS (SELECT z.video_id, any_value(z.n) AS n, any_value(z.k) AS k, list(coalesce(b.g, []) ORDER BY t.e) AS ends
+             FROM sized z JOIN (SELECT video_id, unnest(range(1, n + 1)) AS e FROM sized) t USING (video_id)
+             LEFT JOIN by_end b ON b.video_id = z.video_id AND b.e = t.e GROUP BY z.video_id)""",
+        """walk AS (
+          SELECT video_id, n, k, 1 AS done, ends, list_transform(ends, lambda g: CASE WHEN len(g) > 0 THEN {'v': g[1].v, 'starts': [0]} END) AS best FROM lists
+          UNION ALL
+          SELECT video_id, n, k, done + 1, ends, list_transform(ends, lambda g: list_max(list_filter(list_transform(g, lambda x:
+            CASE WHEN x.s > 0 AND best[x.s] IS NOT NULL THEN {'v': best[x.s].v + x.v, 'starts': list_append(best[x.s].starts, x.s)} END), lambda y: y IS NOT NULL)))
+          FROM walk WHERE done < k)""",
+        """final AS (SELECT video_id, n, best[n].starts AS starts FROM walk WHERE done = k)""",
+        """cut AS (SELECT video_id, n, unnest(starts) AS "start", generate_subscripts(starts, 1) - 1 AS shot_idx FROM final)""",
+        body="""SELECT video_id, shot_idx, "start", coalesce(lead("start") OVER (PARTITION BY video_id ORDER BY shot_idx), n) - 1 AS "end" FROM cut""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("segment_by_kernel", cuts_sql(10, 1))
 def segment_by_kernel(spark, sf):
     out = gt.segment_by_kernel(views.feature_frames(spark, sf))
     return out.select("video_id", "shot_idx", "start", "end")
 
 
-@query("segment_by_kernel_min_len")
+@query("segment_by_kernel_min_len", cuts_sql(4, 2))
 def segment_by_kernel_min_len(spark, sf):
     out = gt.segment_by_kernel(views.feature_frames(spark, sf), steps_per_segment=4, min_len=2)
     return out.select("video_id", "shot_idx", "start", "end")

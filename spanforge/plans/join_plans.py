@@ -46,16 +46,18 @@ def lookup_join_default(spark, sf):
 @query(
     "positional_join",
     with_ctes(
-        """captions AS (SELECT CAST(conv_id % 150 AS VARCHAR) AS video_id, length(text) AS n_chars,
-           row_number() OVER (PARTITION BY conv_id % 150 ORDER BY conv_id, turn) - 1 AS pos FROM conversations)""",
+        """users AS (SELECT max(user_id) + 1 AS n FROM events)""",
+        """captions AS (SELECT CAST(conv_id % n AS VARCHAR) AS video_id, length(text) AS n_chars,
+           row_number() OVER (PARTITION BY conv_id % n ORDER BY conv_id, turn) - 1 AS pos FROM conversations, users)""",
         FRAMES,
         body="SELECT video_id, pos, pick, n_chars FROM captions c JOIN frames f USING (video_id) WHERE c.pos = f.step",
     ),
 )
 def positional_join(spark, sf):
+    n_users = views.table(spark, sf, "events").agg(F.max("user_id") + 1).first()[0]
     captions = views.table(spark, sf, "conversations").select(
         F.lit("events").alias("dataset"),
-        (F.col("conv_id") % 150).cast("string").alias("video_id"),
+        (F.col("conv_id") % n_users).cast("string").alias("video_id"),
         "conv_id",
         "turn",
         F.length("text").cast("long").alias("n_chars"),
@@ -98,19 +100,35 @@ def position_to_shot(spark, sf):
     return joins.position_to_shot(picked, views.segments(spark, sf)).select("video_id", "shot_idx")
 
 
+@query(
+    "representative_shots",
+    with_ctes(
+        FRAMES,
+        SHOT_FRAMES,
+        SEGMENTS,
+        """sized AS (SELECT video_id, count(*) AS n FROM segments GROUP BY video_id)""",
+        body="""SELECT DISTINCT video_id, step AS shot_idx FROM frames JOIN sized USING (video_id) WHERE gtscore > 20 AND step < n""",
+    ),
+)
+def representative_shots(spark, sf):
+    answered = views.frames(spark, sf).filter("gtscore > 20").withColumn("pos", F.col("step") + 1)
+    n_shots = views.segments(spark, sf).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_shots"))
+    return joins.representative_shots(answered, n_shots).select("video_id", "shot_idx")
+
+
 @query(
     "band_semi_join",
     with_ctes(
         VOTES,
-        """grid AS (SELECT video_id, unnest(range(0, 2100, 30)) AS pick FROM (SELECT DISTINCT video_id FROM votes))""",
+        """grid AS (SELECT video_id, unnest(range(0, last + 30, 30)) AS pick FROM (SELECT video_id, max(frame) AS last FROM votes GROUP BY video_id))""",
         body="""SELECT g.video_id, pick, count(DISTINCT user_id) AS n_users FROM grid g JOIN votes v ON v.video_id = g.video_id
         AND v.frame BETWEEN g.pick - 15 AND g.pick + 15 GROUP BY g.video_id, pick""",
     ),
 )
 def band_semi_join(spark, sf):
     votes = views.votes(spark, sf)
-    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(69).cast("long"))).alias("step")
-    picks = votes.select(*KEYS).distinct().select(*KEYS, steps).withColumn("pick", F.col("step") * 30)
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("last") / 30).cast("long"))).alias("step")
+    picks = views.last_frames(votes).select(*KEYS, steps).withColumn("pick", F.col("step") * 30)
     near = joins.band_semi_join(picks, votes)
     return near.groupBy("video_id", "pick").agg(F.count(F.lit(1)).alias("n_users"))
 

@@ -13,6 +13,7 @@ from spanforge.operators import sampling
 from spanforge.operators.ordered import KEYS
 from spanforge.plans.registry import R6, query, r6, with_ctes
 from spanforge.plans.stats_plans import GTFRAMES, labelled_frames, rounded
+from spanforge.session import checkpoint
 from spanforge.plans.text_plans import (
     ORDER_CTES,
     PAIR_ANSWERS,
@@ -44,13 +45,13 @@ F1 = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END"
 
 
 def alignment(spark, sf):
-    """(units, predicted, true) ids per order line of the grounding answers."""
-    items = views.task_items(spark, sf)
+    """(units, predicted, true) ids per order line of the grounding answers; the items are drawn once."""
+    items = checkpoint(views.task_items(spark, sf).select(*KEYS, "display_pos", "n_items", "l_partkey", "l_linenumber", "l_suppkey"))
     n = F.col("n_items")
     truth = items.select(
         *KEYS, "display_pos", F.explode(F.array(F.col("l_partkey") % n, F.col("l_linenumber") % n)).alias("pred_id")
     )
-    pred = ps.assignment_rows(ps.parse_assignments(grounding_answers(spark, sf)))
+    pred = ps.assignment_rows(ps.parse_assignments(grounding_answers(spark, sf, items=items)))
     return items.select(*KEYS, "display_pos"), pred, truth
 
 
@@ -120,11 +121,7 @@ def macro_avg(spark, sf):
 
 def with_scores(spark, sf):
     """Parsed rankings beside the true scores by display label."""
-    parsed = ps.parse_ranking_reasoned(views.ranking_answers(spark, sf))
-    scores = views.task_items(spark, sf).groupBy(*KEYS).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("display_pos", "score"))), lambda x: x["score"]).alias("scores")
-    )
-    return parsed.join(scores, list(KEYS))
+    return ps.parse_ranking_reasoned(views.ranking_answers(spark, sf, F.col("score")))
 
 
 RANKED = """
@@ -173,12 +170,10 @@ def ranking_metrics(spark, sf):
     ),
 )
 def temporal_ranking_metrics(spark, sf):
-    items = mt.temporal_gt_scores(views.task_items(spark, sf))
-    scores = items.groupBy(*KEYS).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("display_pos", "gt_score"))), lambda x: x["gt_score"]).alias("scores")
-    )
-    parsed = ps.parse_ranking_reasoned(views.ranking_answers(spark, sf)).filter("failure_reason is null")
-    out = mt.ranking_metrics(parsed.join(scores, list(KEYS)))
+    # Sampled positions are dense, so the last one is known in the row.
+    score = (F.col("n_items") - 1 - F.col("orig_pos")).cast("double")
+    parsed = ps.parse_ranking_reasoned(views.ranking_answers(spark, sf, score)).filter("failure_reason is null")
+    out = mt.ranking_metrics(parsed)
     return rounded(out.select("video_id", "spearman_r", "kendall_tau", "top_k_precision"))
 
 
@@ -242,8 +237,7 @@ def win_counts(spark, sf):
     ),
 )
 def rank_from_wins(spark, sf):
-    out = mt.rank_from_wins(wins(spark, sf), views.N_ITEMS)
-    return out.select("video_id", "orig_pos", F.col("rank").cast("long").alias("rank"))
+    return mt.rank_from_wins(wins(spark, sf)).select("video_id", "orig_pos", "rank")
 
 
 # ---- chains ----------------------------------------------------------------
@@ -296,7 +290,10 @@ def doc_pairs(spark, sf):
     """Each whole document against the reference passage assigned to it."""
     docs = views.documents(spark, sf).select("doc_id", F.col("text").alias("candidate"))
     refs = views.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("reference"))
-    return docs.withColumn("item_id", F.col("doc_id") % 40).join(refs, "item_id").select("doc_id", "candidate", "reference")
+    n_refs = refs.agg(F.max("item_id") + 1).first()[0]
+    return joins.lookup_join(docs.withColumn("item_id", F.col("doc_id") % n_refs), refs, ["item_id"], small=True).select(
+        "doc_id", "candidate", "reference"
+    )
 
 
 def turn_pairs(spark, sf):
@@ -317,7 +314,7 @@ ov AS (SELECT {key}, n, sum(least(c, r)) AS o, sum(c) AS nc, sum(r) AS nr FROM c
 """
 
 
-DOC_PAIRS = "SELECT doc_id, d.text AS candidate, b.text AS reference FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40"
+DOC_PAIRS = "SELECT doc_id, d.text AS candidate, b.text AS reference FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)"
 TURN_PAIRS = "SELECT a.conv_id, a.turn, a.text AS candidate, b.text AS reference FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'"
 
 
@@ -340,6 +337,27 @@ def rouge_n_turns(spark, sf):
     return rounded(mt.rouge_n(turn_pairs(spark, sf), ["conv_id", "turn"]))
 
 
+@query(
+    "rouge_l_turns",
+    with_ctes(
+        f"""pairs AS ({TURN_PAIRS})""",
+        """tok AS (SELECT conv_id, turn, regexp_extract_all(lower(candidate), '[a-z0-9]+') AS c, regexp_extract_all(lower(reference), '[a-z0-9]+') AS r FROM pairs)""",
+        # One row of the table of common lengths per token of the candidate; a running maximum completes it.
+        """walk AS (
+          SELECT conv_id, turn, c, r, 0 AS i, list_transform(r, lambda x: 0) AS row FROM tok
+          UNION ALL
+          SELECT conv_id, turn, c, r, i + 1, list_transform(generate_series(1, len(r)), lambda j: list_max(list_transform(generate_series(1, j),
+            lambda k: greatest(row[k], CASE WHEN r[k] = c[i + 1] THEN coalesce(row[k - 1], 0) + 1 ELSE 0 END))))
+          FROM walk WHERE i < len(c))""",
+        """ended AS (SELECT conv_id, turn, len(c) AS nc, len(r) AS nr, coalesce(row[len(r)], 0) AS lcs FROM walk WHERE i = len(c))""",
+        """pr AS (SELECT *, CASE WHEN nc > 0 THEN lcs / nc ELSE 0 END AS p, CASE WHEN nr > 0 THEN lcs / nr ELSE 0 END AS r FROM ended)""",
+        body=f"""SELECT conv_id, turn, CAST(lcs AS BIGINT) AS lcs, {R6("p")} AS "precision", {R6("r")} AS recall, {R6(F1)} AS f1 FROM pr""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def rouge_l_turns(spark, sf):
+    return rounded(mt.rouge_l(turn_pairs(spark, sf), ["conv_id", "turn"]))
+
+
 @query("rouge_l")
 def rouge_l(spark, sf):
     return rounded(mt.rouge_l(doc_pairs(spark, sf), ["doc_id"]))

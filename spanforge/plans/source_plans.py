@@ -8,11 +8,11 @@ from spanforge.operators import sets
 from spanforge.operators.ordered import KEYS
 from spanforge.plans.registry import R6, query, r6, with_ctes
 from spanforge.plans.stats_plans import GTFRAMES, labelled_frames, rounded
-from spanforge.plans.text_plans import joined
+from spanforge.plans.text_plans import joined, trimmed
 from spanforge.session import fresh_dir
 from spanforge.sources import records as rec
 from spanforge.sources import views
-from spanforge.sources.views import FRAMES, SENTENCES
+from spanforge.sources.views import FRAMES, SEGMENTS, SENTENCES, SHOT_FRAMES
 
 
 def vector_records(spark, sf):
@@ -48,17 +48,21 @@ def profile_record(spark, sf):
 
 
 def nested_lines(spark, sf):
-    """Every document as a nested record: its lines are sentences, summaries are printed dicts."""
-    lines = F.split("text", "\n")
+    """Every document as a nested record: its lines are sentences, summaries are printed dicts.
+
+    Of five documents one has its text without sentences and one is plain text.
+    """
+    kind = F.col("doc_id") % 5
+    lines = F.when(kind == 3, F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
     aligned = F.transform(
         lines,
         lambda s, i: F.struct(
             i.cast("long").alias("sentence_id"), F.sequence(i.cast("long"), (i + F.col("doc_id") % 3).cast("long")).alias("shot_ids")
         ),
     )
-    raw = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.lit(""))
+    raw = F.when((kind == 3) | (F.col("doc_id") % 2 == 0), F.col("text")).otherwise(F.lit(""))
     doc = F.to_json(
-        F.struct(raw.alias("raw_text"), lines.alias("sentences"), F.slice(aligned, 1, 2).alias("alignments"), F.size(lines).alias("num_sentences"))
+        F.struct(raw.alias("raw_text"), lines.alias("sentences"), aligned.alias("alignments"), F.size(lines).alias("num_sentences"))
     )
     k = F.col("doc_id").cast("string")
     printed = F.concat(
@@ -74,7 +78,7 @@ def nested_lines(spark, sf):
         F.struct(
             frames.alias("frames"),
             clips.alias("clips"),
-            doc.alias("aligned_full_document"),
+            F.when(kind == 4, F.col("text")).otherwise(doc).alias("aligned_full_document"),
             F.when(F.col("doc_id") % 3 > 0, printed).alias("aligned_text_summary"),
         )
     )
@@ -83,7 +87,7 @@ def nested_lines(spark, sf):
 
 NESTED = """
 doc_lines AS (SELECT doc_id, string_split(text, chr(10)) AS l, text FROM documents),
-nested AS (SELECT doc_id, 'document' AS block, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS sentence_id, doc_id % 3 AS w FROM doc_lines
+nested AS (SELECT doc_id, 'document' AS block, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS sentence_id, doc_id % 3 AS w FROM doc_lines WHERE doc_id % 5 < 3
   UNION ALL SELECT doc_id, 'summary', unnest(['item ' || doc_id, 'end.']), unnest([0, 1]), NULL FROM documents WHERE doc_id % 3 > 0)
 """
 
@@ -93,7 +97,7 @@ nested AS (SELECT doc_id, 'document' AS block, unnest(l) AS t, generate_subscrip
     with_ctes(
         NESTED,
         body="""SELECT CAST(doc_id AS VARCHAR) AS video_id, block, sentence_id, md5(t) AS text, CASE WHEN block = 'summary' THEN CASE WHEN sentence_id = 1 THEN CAST(doc_id AS VARCHAR) ELSE '' END
-        WHEN sentence_id < 2 THEN array_to_string(range(sentence_id, sentence_id + w + 1), ',') ELSE '' END AS shot_ids FROM nested""",
+        ELSE array_to_string(range(sentence_id, sentence_id + w + 1), ',') END AS shot_ids FROM nested""",
     ),
 )
 def load_nested_docs(spark, sf):
@@ -105,7 +109,8 @@ def load_nested_docs(spark, sf):
     "load_nested_texts",
     with_ctes(
         """doc_lines AS (SELECT doc_id, string_split(text, chr(10)) AS l, text FROM documents)""",
-        body="""SELECT CAST(doc_id AS VARCHAR) AS video_id, 'document' AS block, len(l) AS num_sentences, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE array_to_string(l, ' ') END) AS raw_text FROM doc_lines
+        body=f"""SELECT CAST(doc_id AS VARCHAR) AS video_id, 'document' AS block, CASE doc_id % 5 WHEN 3 THEN 0 WHEN 4 THEN NULL ELSE len(l) END AS num_sentences,
+        md5(CASE WHEN doc_id % 5 < 3 THEN array_to_string(l, ' ') ELSE {trimmed('text')} END) AS raw_text FROM doc_lines
         UNION ALL SELECT CAST(doc_id AS VARCHAR), 'summary', 2, md5('item ' || doc_id || ' end.') FROM documents WHERE doc_id % 3 > 0""",
     ),
 )
@@ -185,6 +190,71 @@ def write_nested_docs(spark, sf):
     return back.select("video_id", "part", frames.alias("f")).select("video_id", "part", "f.*")
 
 
+def round_trip(spark, sf):
+    """Frames in parts of 40, clips and aligned blocks, written and read back."""
+    members = F.sort_array(F.collect_list("pick")).alias("members")
+    shots = views.shot_frames(spark, sf).groupBy(*KEYS, "shot_idx").agg(members)
+    segments = views.segments(spark, sf).join(shots, [*KEYS, "shot_idx"])
+    path = fresh_dir(spark, "docs")
+    docs = rec.nested_docs(labelled_frames(spark, sf), segments, views.sentences(spark, sf), rows_per_part=40)
+    rec.write_nested_docs(docs, path)
+    return rec.load_nested_docs(spark, path)
+
+
+@query(
+    "nested_round_trip_frames",
+    with_ctes(FRAMES, GTFRAMES, body="SELECT video_id, step, pick AS frame_id, description, gtframe AS is_gt, status FROM gt_frames"),
+)
+def nested_round_trip_frames(spark, sf):
+    return round_trip(spark, sf)["frames"].drop("dataset")
+
+
+@query(
+    "nested_round_trip_segments",
+    with_ctes(FRAMES, SHOT_FRAMES, SEGMENTS, body="SELECT video_id, shot_idx, description, shot_level_gt, n_sampled FROM segments"),
+)
+def nested_round_trip_segments(spark, sf):
+    return round_trip(spark, sf)["segments"].drop("dataset")
+
+
+@query(
+    "nested_round_trip_sentences",
+    with_ctes(SENTENCES, body="SELECT video_id, block, sentence_id, md5(text) AS text, array_to_string(shot_ids, ',') AS shot_ids FROM sentences"),
+)
+def nested_round_trip_sentences(spark, sf):
+    out = round_trip(spark, sf)["sentences"]
+    return out.select("video_id", "block", "sentence_id", F.md5("text").alias("text"), joined("shot_ids").alias("shot_ids"))
+
+
+@query("read_json_map", "SELECT CAST(conv_id AS VARCHAR) AS video_id, turn AS frame_id, role AS description FROM conversations")
+def read_json_map(spark, sf):
+    """Map files of some videos each, as one writer leaves them."""
+    path = fresh_dir(spark, "maps")
+    entry = F.struct(F.col("turn").alias("frame_id"), F.col("role").alias("description"))
+    talks = views.table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(entry).alias("frames"))
+    one = F.struct(F.col("conv_id").cast("string").alias("key"), F.struct("frames").alias("value"))
+    maps = talks.groupBy(F.floor(F.col("conv_id") / 20)).agg(F.map_from_entries(F.collect_list(one)).alias("m"))
+    maps.select(F.to_json("m")).write.text(path)
+    frames = rec.parse_nested_docs(rec.read_json_map(spark, path, "talks"))["frames"]
+    return frames.select("video_id", "frame_id", "description")
+
+
+@query(
+    "votes_from_matrix",
+    """SELECT CAST(vec_id AS VARCHAR) AS video_id, u AS user_id, (i - 1) * 15 AS frame, CASE WHEN embedding[i] > u * 0.1::FLOAT THEN 1 ELSE 0 END AS selected
+    FROM (SELECT *, unnest([0, 1]) AS u FROM embeddings), LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)""",
+)
+def votes_from_matrix(spark, sf):
+    row = lambda least: F.transform("embedding", lambda x: (x > F.lit(least).cast("float")).cast("int"))
+    records = views.table(spark, sf, "embeddings").select(
+        F.lit("vectors").alias("dataset"),
+        F.col("vec_id").cast("string").alias("video_id"),
+        F.array(row(0.0), row(0.1)).alias("user_summary"),
+        F.transform("embedding", lambda x, i: i * 15).alias("picks"),
+    )
+    return rec.votes_from_matrix(records, picks="picks").drop("dataset")
+
+
 @query(
     "write_run",
     f"""SELECT o_orderpriority AS run_id, count(*) AS n_total, count(*) AS n_rows, {R6("avg(o_totalprice)")} AS avg_score FROM orders GROUP BY o_orderpriority""",
@@ -220,6 +290,21 @@ def upsert_columns_force(spark, sf):
     return rec.upsert_columns(*store(spark, sf), ["n"], ["c_custkey"], force=True)
 
 
+@query(
+    "upsert_columns_by_group",
+    with_ctes(
+        """store AS (SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey < 10 AND c_custkey % 3 = 0 THEN c_nationkey END AS old FROM customer)""",
+        """fresh AS (SELECT o_custkey AS c_custkey, CAST(count(*) AS INT) AS new FROM orders GROUP BY o_custkey)""",
+        body="""SELECT c_custkey, CASE WHEN count(old) OVER (PARTITION BY c_nationkey) > 0 THEN old ELSE new END AS n FROM store LEFT JOIN fresh USING (c_custkey)""",
+    ),
+)
+def upsert_columns_by_group(spark, sf):
+    old = F.when((F.col("c_nationkey") < 10) & (F.col("c_custkey") % 3 == 0), F.col("c_nationkey"))
+    c = views.table(spark, sf, "customer").select("c_custkey", "c_nationkey", old.alias("n"))
+    out = rec.upsert_columns(c, store(spark, sf)[1], ["n"], ["c_custkey"], group=["c_nationkey"])
+    return out.select("c_custkey", "n")
+
+
 @query("delete_by_id", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48)")
 def delete_by_id(spark, sf):
     return deleted(spark, sf)[0].select("o_orderkey")

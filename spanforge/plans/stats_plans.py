@@ -30,7 +30,7 @@ def labelled_frames(spark, sf):
     return f.withColumn("n_frames", F.col("n_steps") * 15)
 
 
-def some_segments(spark, sf):
+def some_segments(spark, sf, gaps=True):
     k = F.col("shot_idx") % 4
     said = (
         F.when(k == 0, F.concat("description", F.lit(" in the yard. It rains!")))
@@ -38,7 +38,8 @@ def some_segments(spark, sf):
         .when(k == 2, "")
         .otherwise(F.col("description"))
     )
-    s = views.segments(spark, sf).filter(~F.col("video_id").endswith("3"))
+    s = views.segments(spark, sf)
+    s = s.filter(~F.col("video_id").endswith("3")) if gaps else s
     return s.select(*KEYS, "shot_idx", "n_sampled", (F.col("shot_idx") % 3 == 0).cast("int").alias("shot_level_gt"), said.alias("description"))
 
 
@@ -203,7 +204,7 @@ S = lambda c: f"len(list_filter(regexp_split_to_array({c}, '[.!?]+'), lambda x:
         GTFRAMES,
         SHOT_FRAMES,
         SEGMENTS,
-        SOME_SEGMENTS,
+        SOME_SEGMENTS.replace(" WHERE video_id NOT LIKE '%3'", ""),
         """documents_long AS (SELECT 'document' AS block, text AS raw_text FROM documents)""",
         """blocks AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'summary' ELSE 'document' END AS block, text AS raw_text FROM documents)""",
         f"""pf AS (SELECT video_id, count(*) AS ns, max(n_frames) AS nf, sum(gtframe) AS g FROM gt_frames GROUP BY video_id)""",
@@ -255,7 +256,7 @@ def dataset_overview(spark, sf):
         F.col("text").alias("raw_text"),
         F.lit(None).cast("long").alias("num_sentences"),
     )
-    out = ag.dataset_overview(labelled_frames(spark, sf), some_segments(spark, sf), docs)
+    out = ag.dataset_overview(labelled_frames(spark, sf), some_segments(spark, sf, gaps=False), docs)
     return rounded(out)
 
 

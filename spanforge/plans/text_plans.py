@@ -127,9 +127,9 @@ def parse_winner(spark, sf):
     return out.select("video_id", "pair_idx", ps.parse_winner(F.col("raw_output")).alias("winner"))
 
 
-def grounding_answers(spark, sf, head="Summary "):
+def grounding_answers(spark, sf, head="Summary ", items=None):
     """Lines ``Summary K: Clip a, Clip b`` per order, some broken; n_lines lines, n_ids clips."""
-    items = views.task_items(spark, sf)
+    items = views.task_items(spark, sf) if items is None else items
     n = F.col("n_items")
     line = F.concat(
         F.lit(head),
@@ -465,13 +465,14 @@ def clean_generated_text(spark, sf):
 
 @query(
     "strip_thinking",
-    f"""SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN '' WHEN 2 THEN NULL ELSE md5({trimmed('text')}) END AS answer FROM documents""",
+    f"""SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN '' ELSE md5({trimmed('text')}) END AS answer FROM documents""",
 )
 def strip_thinking(spark, sf):
     k = F.col("doc_id") % 4
     raw = (
         F.when(k == 0, F.concat(F.lit("<THINK>"), "source", F.lit("\n</think> "), "text"))
         .when(k == 1, F.concat(F.lit(" \n<think> "), "text"))
+        .when(k == 2, F.concat(F.col("text"), F.lit("<think>c\n\nd</think> \n")))
         .when(k == 3, F.concat(F.lit("<think>a</think>"), "text", F.lit(" <think>b</think>")))
     )
     out = text.strip_thinking(raw)

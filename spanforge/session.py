@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_TASK_KEY = "spark.spanforge.rowsPerTask"
 ROWS_PER_TASK = 2_000_000
-# A side of at most this many narrow rows may be broadcast.
+# A side of at most this many rows and bytes may be broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(cores: str = "*", app: str = "spanforge", **conf: str) -> SparkSession:

@@ -15,7 +15,7 @@ ALIGNED = (
     "alignments ARRAY<STRUCT<sentence_id BIGINT, shot_ids ARRAY<BIGINT>, shot_summaries ARRAY<STRING>>>"
 )
 DOC_FIELDS = (
-    "frames ARRAY<STRUCT<frame_id BIGINT, description STRING, is_gt INT, status INT>>, "
+    "frames ARRAY<STRUCT<step BIGINT, frame_id BIGINT, description STRING, is_gt INT, status INT>>, "
     "clips ARRAY<STRUCT<clip_id BIGINT, summary STRING, gt INT, frames ARRAY<BIGINT>>>, "
     "aligned_full_document STRING, aligned_text_summary STRING"
 )
@@ -33,22 +33,45 @@ def load_video_records(records: DataFrame, fields: Sequence[str] = ARRAYS) -> Da
     return out.select(*KEYS, F.col("step").cast("long").alias("step"), *values)
 
 
+def votes_from_matrix(records: DataFrame, matrix: str = "user_summary", picks: str | None = None) -> DataFrame:
+    """A users x frames matrix per video (array of arrays) to votes: user_id, frame, selected.
+
+    Users are numbered by row. ``frame`` is the column number, or the entry of the array ``picks`` at it; columns
+    beyond the picks are dropped. Null rows and entries give no votes.
+    """
+    users = records.select(*KEYS, *([picks] if picks else []), F.posexplode(matrix).alias("user_id", "_row"))
+    cells = users.select(*KEYS, "user_id", *([picks] if picks else []), F.posexplode("_row").alias("_at", "selected"))
+    frame = F.get(picks, F.col("_at")).cast("long") if picks else F.col("_at").cast("long")
+    out = cells.select(*KEYS, F.col("user_id").cast("long").alias("user_id"), frame.alias("frame"), F.col("selected").cast("int").alias("selected"))
+    return out.filter(F.col("frame").isNotNull() & F.col("selected").isNotNull())
+
+
 def aligned_block(c: Column) -> Column:
-    """A block stored as a JSON object or as its printed Python form."""
+    """A block stored as a JSON object, as its printed Python form or as plain text."""
     printed = c
     # Python's spelling of the JSON literals.
     for python, json in (("None", "null"), ("True", "true"), ("False", "false")):
         printed = F.regexp_replace(printed, rf"(?<=[:\[,]\s?){python}(?=\s*[,}}\]])", json)
     text_form = F.when(F.regexp(c, F.lit(r"^\s*\{\s*'")), printed).otherwise(c)
     options = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
-    return F.from_json(text_form, ALIGNED, options)
+    plain = F.struct(
+        text.strip(c).alias("raw_text"),
+        F.lit(None).cast("array<string>").alias("sentences"),
+        F.lit(None).cast("bigint").alias("num_sentences"),
+        F.lit(None).cast("array<struct<sentence_id: bigint, shot_ids: array<bigint>, shot_summaries: array<string>>>").alias("alignments"),
+    )
+    return F.when(F.regexp(c, F.lit(r"^\s*\{")), F.from_json(text_form, ALIGNED, options)).when(~text.is_blank(c), plain)
 
 
 def parse_nested_docs(lines: DataFrame) -> dict[str, DataFrame]:
-    """``dataset, video_id, doc`` (one JSON object per video) to long tables."""
+    """``dataset, video_id, doc`` (JSON objects, one or several numbered parts per video) to long tables.
+
+    A frame's step is the one it was written with, else its place in the list. The text of a block is made of its
+    sentences if it has some.
+    """
     parsed = lines.select(*KEYS, F.from_json("doc", DOC_FIELDS).alias("d")).select(*KEYS, "d.*")
-    frames = parsed.select(*KEYS, F.posexplode("frames").alias("step", "f")).select(
-        *KEYS, F.col("step").cast("long").alias("step"), "f.*"
+    frames = parsed.select(*KEYS, F.posexplode("frames").alias("at", "f")).select(
+        *KEYS, F.coalesce("f.step", F.col("at").cast("long")).alias("step"), *[f"f.{c}" for c in ("frame_id", "description", "is_gt", "status")]
     )
     clips = parsed.select(*KEYS, F.explode("clips").alias("c")).select(
         *KEYS,
@@ -68,7 +91,7 @@ def parse_nested_docs(lines: DataFrame) -> dict[str, DataFrame]:
     sentences = rows.select(
         *KEYS, "block", F.col("sentence_id").cast("long").alias("sentence_id"), "text", ids.alias("shot_ids")
     )
-    raw = F.when(text.is_blank(F.col("b.raw_text")), F.array_join("b.sentences", " ")).otherwise(F.col("b.raw_text"))
+    raw = F.when(F.size("b.sentences") > 0, F.array_join("b.sentences", " ")).otherwise(text.strip(F.col("b.raw_text")))
     documents = both.select(*KEYS, "block", raw.alias("raw_text"), F.col("b.num_sentences").alias("num_sentences"))
     return {"frames": frames, "segments": clips, "sentences": sentences, "documents": documents}
 
@@ -128,13 +151,52 @@ def restrict_to_ids(rows: DataFrame, ids: DataFrame, key: str = "video_id") -> D
 
 # ---- sinks -----------------------------------------------------------------
 
-def nested_docs(frames: DataFrame, rows_per_part: int = 10_000) -> DataFrame:
-    """One JSON document per video; very long videos are written in numbered parts."""
+def aligned_blocks(sentences: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per video: both blocks as JSON, from ``block, sentence_id, text, shot_ids``."""
+    row = F.struct("sentence_id", "text", "shot_ids")
+    packed = sentences.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(row)).alias("s"))
+    texts = F.transform("s", lambda x: x["text"])
+    block = F.to_json(
+        F.struct(
+            F.array_join(texts, " ").alias("raw_text"),
+            texts.alias("sentences"),
+            F.size("s").cast("long").alias("num_sentences"),
+            F.transform("s", lambda x, i: F.struct(i.cast("long").alias("sentence_id"), x["shot_ids"].alias("shot_ids"))).alias("alignments"),
+        )
+    )
+    one = lambda name: F.max(F.when(F.col("block") == name, F.col("_b")))
+    return packed.withColumn("_b", block).groupBy(*keys).agg(
+        one("document").alias("aligned_full_document"), one("summary").alias("aligned_text_summary")
+    )
+
+
+def nested_docs(
+    frames: DataFrame,
+    segments: DataFrame | None = None,
+    sentences: DataFrame | None = None,
+    rows_per_part: int = 10_000,
+) -> DataFrame:
+    """One JSON document per video; very long videos are written in numbered parts.
+
+    ``segments`` (shot_idx, description, shot_level_gt, ``members``: its frame ids) become the clips and ``sentences`` the aligned
+    document and summary; both stand in the first part. Entries keep their step, so parts can be read in any order.
+    """
     cut = frames.withColumn("part", F.floor(F.col("step") / rows_per_part).cast("long"))
     entry = F.struct("step", F.col("pick").alias("frame_id"), "description", F.col("gtframe").alias("is_gt"), "status")
-    packed = cut.groupBy(*KEYS, "part").agg(F.sort_array(F.collect_list(entry)).alias("frames"))
-    bare = F.transform("frames", lambda f: f.dropFields("step"))
-    return packed.select(*KEYS, "part", F.to_json(F.struct(bare.alias("frames"))).alias("doc"))
+    out = cut.groupBy(*KEYS, "part").agg(F.sort_array(F.collect_list(entry)).alias("frames"))
+    fields = [F.col("frames")]
+    first = lambda df: df.withColumn("part", F.lit(0).cast("long"))
+    if segments is not None:
+        clip = F.struct(
+            F.col("shot_idx").alias("clip_id"), F.col("description").alias("summary"), F.col("shot_level_gt").alias("gt"), F.col("members").alias("frames")
+        )
+        clips = segments.groupBy(*KEYS).agg(F.sort_array(F.collect_list(clip)).alias("clips"))
+        out = out.join(first(clips), [*KEYS, "part"], "full")
+        fields.append(F.col("clips"))
+    if sentences is not None:
+        out = out.join(first(aligned_blocks(sentences)), [*KEYS, "part"], "full")
+        fields += [F.col("aligned_full_document"), F.col("aligned_text_summary")]
+    return out.select(*KEYS, "part", F.to_json(F.struct(*fields)).alias("doc"))
 
 
 def write_nested_docs(docs: DataFrame, path: str) -> None:
@@ -150,17 +212,35 @@ def write_run(settings: DataFrame, results: DataFrame, path: str) -> None:
 # ---- maintenance -----------------------------------------------------------
 
 def upsert_columns(
-    store: DataFrame, fresh: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS, force: bool = False
+    store: DataFrame,
+    fresh: DataFrame,
+    columns: Sequence[str],
+    keys: Sequence[str] = KEYS,
+    force: bool = False,
+    group: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add derived columns; rows that already have one keep it unless ``force``."""
+    """Add derived columns; rows that already have one keep it unless ``force``.
+
+    With ``group`` (some of the keys) a group in which any row has the column is skipped whole, so old
+    and new values never mix in one group.
+    """
     renamed = fresh.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = store.join(renamed, list(keys), "left")
+    have = [c for c in columns if c in store.columns]
+    if group is not None and have and not force:
+        facts = store.groupBy(*group).agg(*[(F.count(c) > 0).alias(f"_has_{c}") for c in have])
+        joined = joined.join(facts, list(group), "left")
     out = {}
     for c in columns:
         new = F.col(f"_new_{c}")
-        old = F.col(c) if c in store.columns else F.lit(None)
-        out[c] = F.coalesce(new, old) if force else F.coalesce(old, new)
-    return joined.withColumns(out).drop(*[f"_new_{c}" for c in columns])
+        old = F.col(c) if c in have else F.lit(None)
+        if force:
+            out[c] = F.coalesce(new, old)
+        elif group is not None and c in have:
+            out[c] = F.when(F.col(f"_has_{c}"), old).otherwise(new)
+        else:
+            out[c] = F.coalesce(old, new)
+    return joined.withColumns(out).drop(*[f"_new_{c}" for c in columns], *[f"_has_{c}" for c in have])
 
 
 def delete_by_id(store: DataFrame, failed: DataFrame, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:

@@ -108,6 +108,11 @@ segments AS (
 """
 
 
+def last_frames(votes: DataFrame) -> DataFrame:
+    """The largest annotated frame of each group."""
+    return votes.groupBy(*KEYS).agg(F.max("frame").cast("long").alias("last"))
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as scored items; the key columns complete the order of lines."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
@@ -167,14 +172,21 @@ def tag(col: str = "video_id") -> Column:
     return F.substring(F.md5(F.col(col)), 1, 1)
 
 
-def ranking_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``Shot X > ...`` answers, one per order, in good and broken shapes."""
+def ranking_answers(spark: SparkSession, sf_dir: str, score: Column | None = None) -> DataFrame:
+    """``Shot X > ...`` answers, one per order, in good and broken shapes.
+
+    With ``score`` the row also lists the items' true scores by label.
+    """
     items = task_items(spark, sf_dir)
     spoken = F.sort_array(
         F.collect_list(F.struct(F.md5(F.concat_ws(":", F.lit("says"), "video_id", "item_key")), "display_pos"))
     )
+    if score is not None:
+        by_label = F.transform(F.sort_array(F.collect_list(F.struct("display_pos", score.alias("s")))), lambda x: x["s"])
     one = items.groupBy(*KEYS).agg(
-        F.max("n_items").alias("n_items"), F.transform(spoken, lambda s: s["display_pos"]).alias("said")
+        F.max("n_items").alias("n_items"),
+        F.transform(spoken, lambda s: s["display_pos"]).alias("said"),
+        *([] if score is None else [by_label.alias("scores")]),
     )
     t = tag()
     labels = F.array_join(F.transform("said", lambda x: F.concat(F.lit("Shot "), x.cast("string"))), " > ")
@@ -192,7 +204,7 @@ def ranking_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(t == "f", F.concat(F.lit("<think>maybe Shot 1 first</think>"), F.lower(labels)))
         .otherwise(labels)
     )
-    return one.select(*KEYS, "n_items", text.alias("raw_output"))
+    return one.select(*KEYS, "n_items", text.alias("raw_output"), *([] if score is None else ["scores"]))
 
 
 RANKING_ANSWERS = """
