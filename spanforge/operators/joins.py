@@ -19,6 +19,10 @@ from spanforge.operators.ordered import (
 from spanforge.session import BROADCAST_BYTES, BROADCAST_ROWS
 
 
+# Items of a sampled task whose pairs may be spelled out.
+MAX_PAIRED = 64
+
+
 def fits_broadcast(side: DataFrame) -> bool:
     """Whether a side has few rows and few bytes; no more than the rows allowed are looked at."""
     size = F.octet_length(F.to_json(F.struct(*side.columns)))
@@ -156,11 +160,14 @@ def pair_rows(sampled: DataFrame) -> DataFrame:
     """All i < j pairs of a sampled task in combination order.
 
     ``sampled`` comes from ``sample_per_group``, so a group holds a handful of items: a
-    group becomes one row and its pairs are spelled from two loops over that array.
+    group becomes one row and its pairs are spelled from two loops over that array. A
+    group of more than ``MAX_PAIRED`` items stops with an error.
     """
     one = sampled.groupBy(*KEYS).agg(
         F.sort_array(F.collect_list(F.struct("orig_pos", "item_key", "score"))).alias("_x")
     )
+    many = F.concat(F.lit("too many items for pairs in group "), *[F.concat(F.col(k), F.lit(" ")) for k in KEYS])
+    one = one.withColumn("_x", F.when(F.size("_x") > MAX_PAIRED, F.raise_error(many).cast(one.schema["_x"].dataType)).otherwise(F.col("_x")))
     pairs = F.flatten(
         F.transform(
             F.col("_x"),
@@ -237,7 +244,7 @@ def gt_frame_set(frames: DataFrame, shots: DataFrame, over: Oversize | None = No
     spans = summed.filter((F.col("shot_level_gt") == 1) & (F.col("n_sampled") > 0)).select(
         *KEYS, "shot_idx", (F.col("_hi") - F.col("n_sampled")).alias("start"), (F.col("_hi") - 1).alias("end")
     )
-    hit = interval_join(spans, frames.select(*KEYS, "step", "pick"), "step")
-    return hit.filter(F.col("step").isNotNull()).select(*KEYS, "shot_idx", "step", "pick")
+    hit = interval_hits(spans, frames.select(*KEYS, "step", "pick"), "step")
+    return hit.select(*KEYS, "shot_idx", "step", "pick")
 
 

@@ -72,10 +72,11 @@ def segment_uniform(spark, sf):
     ),
 )
 def segment_score(spark, sf):
-    s = views.segments(spark, sf).select(
+    over = views.event_groups(spark, sf)
+    s = views.segments(spark, sf, over).select(
         *KEYS, "shot_idx", (F.col("start") + 3).alias("start"), (F.col("end") - F.col("shot_idx") * 2).alias("end")
     )
-    out = gt.segment_score(views.frames(spark, sf), s)
+    out = gt.segment_score(views.frames(spark, sf, over), s)
     return out.select("video_id", "shot_idx", r6("score").alias("score"), "length")
 
 
@@ -181,7 +182,8 @@ def force_best_if_empty(spark, sf):
     ),
 )
 def topk_frames(spark, sf):
-    return gt.topk_frames(views.frames(spark, sf)).select("video_id", "step", "gtframe")
+    over = views.event_groups(spark, sf)
+    return gt.topk_frames(views.frames(spark, sf, over), over=over).select("video_id", "step", "gtframe")
 
 
 @query(
@@ -203,7 +205,8 @@ def argmax_per_shot(spark, sf):
     JOIN segments s USING (video_id, shot_idx) WHERE s.shot_level_gt = 1"""),
 )
 def gt_frame_set(spark, sf):
-    out = joins.gt_frame_set(views.frames(spark, sf), views.segments(spark, sf))
+    over = views.event_groups(spark, sf)
+    out = joins.gt_frame_set(views.frames(spark, sf, over), views.segments(spark, sf, over), over)
     return out.select("video_id", "pick", "shot_idx")
 
 

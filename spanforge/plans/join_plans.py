@@ -78,9 +78,10 @@ def positional_join(spark, sf):
     ),
 )
 def interval_join(spark, sf):
-    s = views.segments(spark, sf)
+    over = views.event_groups(spark, sf)
+    s = views.segments(spark, sf, over)
     s = s.withColumns({"start": F.col("start") * 15 + 7, "end": F.col("end") * 15 - F.col("shot_idx") * 40})
-    out = joins.count_per_shot(s, views.frames(spark, sf))
+    out = joins.count_per_shot(s, views.frames(spark, sf, over))
     return out.select("video_id", "shot_idx", "n_sampled")
 
 
@@ -96,8 +97,9 @@ def interval_join(spark, sf):
     ),
 )
 def position_to_shot(spark, sf):
-    picked = views.frames(spark, sf).filter(F.col("gtscore") > 100).withColumn("pos", F.col("step") + 1)
-    return joins.position_to_shot(picked, views.segments(spark, sf)).select("video_id", "shot_idx")
+    over = views.event_groups(spark, sf)
+    picked = views.frames(spark, sf, over).filter(F.col("gtscore") > 100).withColumn("pos", F.col("step") + 1)
+    return joins.position_to_shot(picked, views.segments(spark, sf, over), over).select("video_id", "shot_idx")
 
 
 @query(
@@ -111,8 +113,9 @@ def position_to_shot(spark, sf):
     ),
 )
 def representative_shots(spark, sf):
-    answered = views.frames(spark, sf).filter("gtscore > 20").withColumn("pos", F.col("step") + 1)
-    n_shots = views.segments(spark, sf).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_shots"))
+    over = views.event_groups(spark, sf)
+    answered = views.frames(spark, sf, over).filter("gtscore > 20").withColumn("pos", F.col("step") + 1)
+    n_shots = views.segments(spark, sf, over).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_shots"))
     return joins.representative_shots(answered, n_shots).select("video_id", "shot_idx")
 
 

@@ -25,12 +25,13 @@ some_shots AS (SELECT video_id, shot_idx, n_sampled, CASE WHEN shot_idx % 3 = 0
 """
 
 
-def labelled_frames(spark, sf):
-    f = gt.topk_frames(views.frames(spark, sf))
+def labelled_frames(spark, sf, over=None):
+    over = over or views.event_groups(spark, sf)
+    f = gt.topk_frames(views.frames(spark, sf, over), over=over)
     return f.withColumn("n_frames", F.col("n_steps") * 15)
 
 
-def some_segments(spark, sf, gaps=True):
+def some_segments(spark, sf, gaps=True, over=None):
     k = F.col("shot_idx") % 4
     said = (
         F.when(k == 0, F.concat("description", F.lit(" in the yard. It rains!")))
@@ -38,7 +39,7 @@ def some_segments(spark, sf, gaps=True):
         .when(k == 2, "")
         .otherwise(F.col("description"))
     )
-    s = views.segments(spark, sf)
+    s = views.segments(spark, sf, over)
     s = s.filter(~F.col("video_id").endswith("3")) if gaps else s
     return s.select(*KEYS, "shot_idx", "n_sampled", (F.col("shot_idx") % 3 == 0).cast("int").alias("shot_level_gt"), said.alias("description"))
 
@@ -102,7 +103,8 @@ sizes AS (SELECT video_id, count(*) AS total_frames FROM frames GROUP BY video_i
     ),
 )
 def shot_stats_by_video(spark, sf):
-    out = ag.shot_stats_by_video(views.frames(spark, sf), some_segments(spark, sf))
+    over = views.event_groups(spark, sf)
+    out = ag.shot_stats_by_video(views.frames(spark, sf, over), some_segments(spark, sf, over=over))
     return rounded(out.drop("dataset", "_frames", "_desc"))
 
 
@@ -124,7 +126,8 @@ def shot_stats_by_video(spark, sf):
     ),
 )
 def shot_stats(spark, sf):
-    return rounded(ag.shot_stats(views.frames(spark, sf), some_segments(spark, sf)))
+    over = views.event_groups(spark, sf)
+    return rounded(ag.shot_stats(views.frames(spark, sf, over), some_segments(spark, sf, over=over)))
 
 
 TALK_SHOTS = """
@@ -256,7 +259,8 @@ def dataset_overview(spark, sf):
         F.col("text").alias("raw_text"),
         F.lit(None).cast("long").alias("num_sentences"),
     )
-    out = ag.dataset_overview(labelled_frames(spark, sf), some_segments(spark, sf, gaps=False), docs)
+    over = views.event_groups(spark, sf)
+    out = ag.dataset_overview(labelled_frames(spark, sf, over), some_segments(spark, sf, gaps=False, over=over), docs)
     return rounded(out)
 
 

@@ -25,6 +25,7 @@ def build_session(cores: str = "*", app: str = "spanforge", **conf: str) -> Spar
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.operators.groundtruth import segment_uniform
-from spanforge.operators.ordered import KEYS, Oversize, with_position
+from spanforge.operators.ordered import KEYS, Oversize, find_oversize, with_position
 from spanforge.operators.sampling import sample_per_group, shuffle_per_group
 
 SEED = 42
@@ -41,7 +41,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
+def event_groups(spark: SparkSession, sf_dir: str) -> Oversize:
+    """The groups of ``frames`` that are too large for a task, counted once on the narrow key column.
+
+    It also serves everything that is derived from the frames by group, as that is never larger.
+    """
+    key = F.col("user_id").cast("string").alias("video_id")
+    return find_oversize(table(spark, sf_dir, "events").select(F.lit("events").alias("dataset"), key), KEYS)
+
+
 def frames(spark: SparkSession, sf_dir: str, over: Oversize | None = None) -> DataFrame:
+    over = over or event_groups(spark, sf_dir)
     rows = table(spark, sf_dir, "events").select(
         F.lit("events").alias("dataset"),
         F.col("user_id").cast("string").alias("video_id"),
@@ -67,9 +77,10 @@ frames AS (
 """
 
 
-def shot_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shot_frames(spark: SparkSession, sf_dir: str, over: Oversize | None = None) -> DataFrame:
     """Frames with ``n_steps`` and the equal-block ``shot_idx`` they fall in."""
-    return segment_uniform(frames(spark, sf_dir))
+    over = over or event_groups(spark, sf_dir)
+    return segment_uniform(frames(spark, sf_dir, over), over=over)
 
 
 SHOT_FRAMES = """
@@ -80,10 +91,10 @@ shot_frames AS (
 """
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segments(spark: SparkSession, sf_dir: str, over: Oversize | None = None) -> DataFrame:
     """Equal blocks in step space and in pick space, with mean score and text."""
     return (
-        shot_frames(spark, sf_dir)
+        shot_frames(spark, sf_dir, over)
         .groupBy(*KEYS, "shot_idx")
         .agg(
             F.min("step").alias("start"),
