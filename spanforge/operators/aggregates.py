@@ -269,19 +269,8 @@ def dataset_overview(frames: DataFrame, segments: DataFrame, documents: DataFram
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean, median, population deviation, range and p25 / p75 / p99.9."""
-    facts = df.groupBy(*by).agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
     probs = {"median": 0.5, "percentile_25": 0.25, "percentile_75": 0.75, "percentile_99_9": 0.999}
-    cuts = quantiles(df, list(by), value, probs)
-    if by:
-        return facts.join(cuts, list(by), "left")
-    # one row on each side
-    return facts.withColumn("_k", F.lit(0)).join(cuts.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return quantiles(df, list(by), value, probs, facts=True)
 
 
 def compression_ratio(frames: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.ordered import Oversize, find_oversize, next_value, running_sum
+from spanforge.session import checkpoint
 
 # Least expected count of a merged bin, guard inside the logarithm, number of known categories.
 MIN_EXPECTED = 5.0
@@ -30,13 +31,10 @@ def value_counts(df: DataFrame, value: str, in_subset: str = "in_subset") -> Dat
 
 
 def _curves(df: DataFrame, value: str) -> tuple[DataFrame, Oversize]:
-    """Both distribution functions at every value."""
-    counts = value_counts(df, value)
+    """Both distribution functions at every value; the rows are read once, for the value counts."""
+    counts = checkpoint(value_counts(df, value))
     over = find_oversize(counts, [])
-    known = df.filter(F.col(value).isNotNull())
-    sizes = known.agg(
-        F.struct(F.count(F.lit(1)).alias("f"), F.sum(F.col("in_subset").cast("long")).alias("s"))
-    ).scalar()
+    sizes = counts.agg(F.struct(F.sum("n_full").alias("f"), F.sum("n_sub").alias("s"))).scalar()
     cum = running_sum(counts, [], [F.col("v")], {"c_full": F.col("n_full"), "c_sub": F.col("n_sub")}, over)
     share = lambda c, n: F.try_divide(F.col(c).cast("double"), F.col(n).cast("double"))
     cum = cum.withColumn("_n", sizes).withColumns({"_nf": F.col("_n.f"), "_ns": F.col("_n.s")}).drop("_n")

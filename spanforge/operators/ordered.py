@@ -170,30 +170,30 @@ def first_rows(
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], facts: bool = False
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, from per-value counts.
 
     The built-in exact percentile keeps all distinct values of a group in one
-    buffer; here only the value counts are ordered.
+    buffer; here only the value counts are ordered. They are made once and written to the shared folder. With
+    ``facts`` count, mean, population deviation, smallest and largest value come from the same counts. Groups without
+    a value have NULLs.
     """
     keys = list(keys)
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    ranked = running_sum(counted, keys, [F.col(value)], {"_hi": F.col("_c")})
-    totals = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(totals, keys) if keys else ranked.withColumn("_n", totals.scalar())
+    v, c = F.col(value).cast("double"), F.col("_c")
+    counted = checkpoint(df.groupBy(*keys, value).agg(F.count(value).alias("_c")))
+    sums = F.struct(F.sum(c).alias("n"), F.try_divide(F.sum(v * c), F.sum(c)).alias("mean"))
+    totals = counted.groupBy(*keys).agg(sums.alias("_of"))
+    ranked = running_sum(counted, keys, [F.col(value)], {"_hi": c})
+    ranked = ranked.join(totals, keys) if keys else ranked.withColumn("_of", totals.scalar())
 
     def at(index: Column) -> Column:
-        inside = (index < F.col("_hi")) & (index >= F.col("_hi") - F.col("_c"))
-        return F.max(F.when(inside, F.col(value).cast("double")))
+        inside = (index < F.col("_hi")) & (index >= F.col("_hi") - c)
+        return F.max(F.when(inside, v))
 
     parts, picks = [], []
     for name, prob in probs.items():
-        spot = (F.col("_n") - 1) * F.lit(float(prob))
+        spot = (F.col("_of.n") - 1) * F.lit(float(prob))
         parts += [
             at(F.floor(spot)).alias(f"_lo_{name}"),
             at(F.ceil(spot)).alias(f"_up_{name}"),
@@ -201,4 +201,14 @@ def quantiles(
         ]
         low = F.col(f"_lo_{name}")
         picks.append((low + (F.col(f"_up_{name}") - low) * F.col(f"_f_{name}")).alias(name))
+    if facts:
+        gap = v - F.col("_of.mean")
+        parts += [
+            F.sum(c).alias("n"),
+            F.max("_of.mean").alias("mean"),
+            F.sqrt(F.try_divide(F.sum(c * gap * gap), F.sum(c))).alias("std"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+        ]
+        picks = ["n", "mean", "std", "min", "max", *picks]
     return ranked.groupBy(*keys).agg(*parts).select(*keys, *picks)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.types import StructType
 
 from spanforge.session import fresh_dir
@@ -35,20 +37,19 @@ def watch_arrivals(
     return seen_once(stream, keys).join(metadata, list(keys))
 
 
-def run_to_table(
-    stream: DataFrame, out: str, state: str, every: str | None = None, partitions: int | None = None
-) -> DataFrame:
-    """Append a stream to a Parquet folder until the arrivals are used up, or ``every`` interval.
+def _to_files(stream: DataFrame, out: str, state: str) -> DataStreamWriter:
+    return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
 
-    Returns the table written so far; with an interval the query keeps running.
-    """
-    spark = stream.sparkSession
-    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-    if every is None:
-        writer.trigger(availableNow=True).start().awaitTermination()
-    else:
-        writer.trigger(processingTime=every).start()
-    return spark.read.schema(stream.schema).parquet(out)
+
+def run_to_table(stream: DataFrame, out: str, state: str) -> DataFrame:
+    """Append a stream to a Parquet folder until the arrivals are used up; returns the table."""
+    _to_files(stream, out, state).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def keep_table(stream: DataFrame, out: str, state: str, every: str) -> StreamingQuery:
+    """The same at every interval, for as long as the returned query runs."""
+    return _to_files(stream, out, state).trigger(processingTime=every).start()
 
 
 def flush_every_n(
