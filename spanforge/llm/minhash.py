@@ -30,7 +30,8 @@ class Params:
     bands: int = 24
     rows: int = 4
     seed: int = 7_919
-    star_rounds: int = 3
+    star_rounds: int = 1
+    block: int = 1_000  # nodes of a bucket that one task compares with as many others
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -165,15 +166,69 @@ def _star(members: DataFrame, salt: int) -> DataFrame:
     return _ordered(pairs.select(F.col("node").alias("a"), F.col("_l.node").alias("b")))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket that lie in different components, from the nodes outside its largest component."""
-    sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("_n", "comp")).alias("_m"))
-    placed = members.join(main.select("bucket", F.col("_m.comp").alias("_main")), "bucket")
-    rest = placed.filter(F.col("comp") != F.col("_main")).select("bucket", F.col("node").alias("a"), F.col("comp").alias("_ca"))
-    all_ = placed.select("bucket", F.col("node").alias("b"), F.col("comp").alias("_cb"), "_main")
-    pairs = rest.join(all_, "bucket").filter(((F.col("_cb") == F.col("_main")) | (F.col("_ca") < F.col("_cb"))) & (F.col("_ca") != F.col("_cb")))
-    return _ordered(pairs.select("a", "b"))
+def _links_across(bucket: pa.Table, percent: int) -> tuple[list[bytes], list[bytes]]:
+    """Pairs of a bucket's nodes in different components whose sets are alike, as many as join the components.
+
+    Sets are compared through postings: a node's tokens point to the nodes that hold them too, and counting the
+    hits gives its intersection with every other node at once.
+    """
+    nodes, blocks = bucket["node"].to_pylist(), bucket["block"].to_numpy()
+    comps = np.unique(bucket["comp"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    cross = bucket["i"][0].as_py() != bucket["j"][0].as_py()
+    if comps.max() == 0:
+        return [], []
+    tokens = bucket["tokens"].combine_chunks()
+    sizes = np.diff(tokens.offsets.to_numpy())
+    ids, flat = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+    owner = np.repeat(np.arange(len(nodes)), sizes)
+    order = np.argsort(flat, kind="stable")
+    posting, starts = owner[order], np.searchsorted(flat[order], np.arange(len(ids) + 1))
+    first = np.cumsum(sizes) - sizes
+    up = list(range(comps.max() + 1))
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    largest = np.bincount(comps).argmax()
+    left: list[bytes] = []
+    right: list[bytes] = []
+    for x in np.flatnonzero(comps != largest):
+        own = flat[first[x] : first[x] + sizes[x]]
+        common = np.bincount(np.concatenate([posting[starts[t] : starts[t + 1]] for t in own]), minlength=len(nodes))
+        alike = common * (100 + percent) >= percent * (sizes[x] + sizes)
+        if cross:
+            alike &= blocks != blocks[x]
+        for y in np.flatnonzero(alike & (comps != comps[x])):
+            a, b = root(int(comps[x])), root(int(comps[y]))
+            if a != b:
+                up[a] = b
+                left.append(nodes[x])
+                right.append(nodes[y])
+    return left, right
+
+
+def _across(members: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Links between different components of a bucket, found in tasks of two blocks of its nodes.
+
+    The sets travel to the buckets as 31-bit numbers and no pair becomes a row unless it is alike; what is found
+    is confirmed on the full sets like every other link.
+    """
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / p.block).alias("_n"))
+    short = sets.select("node", F.transform("shingles", lambda x: F.pmod(x, F.lit(2**31 - 1)).cast("int")).alias("tokens"))
+    placed = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), "_n"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_o")
+    placed = placed.select("bucket", "node", "comp", "block", other)
+    placed = placed.select("bucket", "node", "comp", "block", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"))
+
+    def work(table: pa.Table) -> pa.Table:
+        left, right = _links_across(table, p.percent)
+        return pa.table([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    found = placed.join(short, "node").groupBy("bucket", "i", "j").applyInArrow(work, "a binary, b binary")
+    return _ordered(found)
 
 
 def near_duplicates(
@@ -182,9 +237,9 @@ def near_duplicates(
     """One row per document: key, the columns ``keep``, n_shingles, component_id, kept.
 
     Documents with the same shingle set are one node. Nodes that share a band are candidates; only pairs that aren't connected yet are
-    compared, on their full sets: first each node with one node of its bucket, in a few rounds with other choices, then all
-    pairs that still lie in different components. So a group of copies costs as many comparisons as it has members, and no candidate
-    that could join two components is left out. ``component_id`` is the smallest key reachable over links.
+    compared: first each node with one node of its bucket, which joins most of a group of copies with as many comparisons as it has
+    members, then, inside tasks, the nodes that still lie in different components. So no candidate
+    that could join two components is left out, and every link is confirmed on the full sets. ``component_id`` is the smallest key reachable over links.
 
     Null and empty texts, and texts of white space, have an empty set and are linked with nothing. Texts with fewer words than a shingle have
     their whole sequence as one. Repeated rows are documents of their own with the same component. A null key is never the component of others unless
@@ -198,22 +253,18 @@ def near_duplicates(
     buckets = checkpoint(_members(buckets, None).select("bucket", "node"))
     wanted = nodes.select("node", key).join(buckets.select("node").distinct(), "node")
     sets = checkpoint(shingle_sets(docs, wanted, p, key, text))
-    links, comps, tested = None, None, None
+    links = comps = None
     members = buckets.withColumn("comp", F.col("node"))
     for turn in range(p.star_rounds + 1):
-        pairs = _star(members, turn) if turn < p.star_rounds else _across(members)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
+        last = turn == p.star_rounds
+        pairs = checkpoint(_across(members, sets, p) if last else _star(members, turn))
         if pairs.isEmpty():
             continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
         found = checkpoint(verified(pairs, sets, p.percent))
         links = found if links is None else links.unionByName(found)
         comps = smallest_reachable(links, "a", "b")
-        members = checkpoint(_members(buckets, comps))
-        if members.isEmpty():
-            break
+        if not last:
+            members = checkpoint(_members(buckets, comps))
     smallest = nodes.select("node", F.col(key).alias("_rep"))
     if comps is not None:
         grouped = smallest.join(comps, "node")
