@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.shared import map_texts, smallest_reachable
@@ -119,6 +119,11 @@ def signatures(docs: DataFrame, p: Params, keep: list[str], text: str) -> DataFr
     return map_texts(docs, keep, text, work, added)
 
 
+def _place(key: str, text: str) -> Column:
+    """What a document is found by again: its key, or without one its text's hash."""
+    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("#"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame, p: Params, key: str, text: str) -> DataFrame:
     """node, shingles of the wanted nodes, read again from the texts of their representatives."""
     added = {"_node": pa.binary(), "shingles": pa.list_(pa.int64())}
@@ -127,8 +132,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, p: Params, key: str, text: s
         sets = [shingler(p.words)(t) for t in texts]
         return {"_node": [set_id(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]}
 
-    wanted = docs.select(F.col(key), F.col(text)).join(nodes, key)
-    made = map_texts(wanted, ["node"], text, work, added)
+    wanted = docs.select(_place(key, text).alias("_at"), F.col(text).alias("_body")).join(nodes, "_at")
+    made = map_texts(wanted, ["node"], "_body", work, added)
     # A key may come with several texts; only the one that made the node counts.
     return made.filter(F.col("node") == F.col("_node")).dropDuplicates(["node"]).select("node", "shingles")
 
@@ -247,11 +252,13 @@ def near_duplicates(
     table gives no rows; other columns are ignored.
     """
     p = params or Params()
-    signed = checkpoint(signatures(docs, p, [key, *keep], text))
-    nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias(key), F.first("bands").alias("bands"))
+    at = F.when(F.col(key).isNull(), _place(key, text)).alias("_at")
+    signed = checkpoint(signatures(docs.select(key, *keep, text, at), p, [key, *keep, "_at"], text))
+    at = F.coalesce(F.min(key).cast("string"), F.min("_at")).alias("_at")
+    nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias(key), at, F.first("bands").alias("bands"))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = checkpoint(_members(buckets, None).select("bucket", "node"))
-    wanted = nodes.select("node", key).join(buckets.select("node").distinct(), "node")
+    wanted = nodes.select("node", "_at").join(buckets.select("node").distinct(), "node")
     sets = checkpoint(shingle_sets(docs, wanted, p, key, text))
     links = comps = None
     members = buckets.withColumn("comp", F.col("node"))

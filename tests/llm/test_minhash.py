@@ -63,6 +63,12 @@ def test_odd_rows(spark, odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_missing_keys_are_linked_too(spark, make_docs):
+    base = [f"k{i}" for i in range(40)]
+    rows = [(None, " ".join(base)), (None, " ".join([*base, "x"])), (None, "other words here"), (4, " ".join(["y", *base])), (9, "lone text")]
+    check(spark, make_docs(rows), rows)
+
+
 def test_five_words_and_unlike_texts(spark, make_docs):
     rows = [(i, " ".join(f"t{(i * 31 + j) % 997}" for j in range(40))) for i in range(50)] + [(99, "a b"), (100, "A b"), (101, "a B c")]
     check(spark, make_docs(rows), rows, minhash.Params(words=5))
