@@ -425,24 +425,29 @@ def select_greedy(
     rest, big = over.split(items.filter(F.col("capacity") > 0), keys)
     out = None
     if rest is not None:
-        row = F.struct(F.col(item).alias("i"), F.col("weight").alias("w"), F.col("value").alias("v"))
-        packed = rest.groupBy(*keys).agg(F.first("capacity").alias("capacity"), F.collect_list(row).alias("_items"))
-        out = packed.select(*keys, F.explode(greedy_ids(F.col("_items"), F.col("capacity"))).alias(item))
+        out = _fold_greedy(rest, keys, item)
     if big is not None:
         picked = _greedy_rounds(big.select(*keys, item, "weight", "value", "capacity"), keys, item, over)
         out = picked if out is None else out.unionByName(picked)
     return out
 
 
+def _fold_greedy(items: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
+    row = F.struct(F.col(item).alias("i"), F.col("weight").alias("w"), F.col("value").alias("v"))
+    packed = items.groupBy(*keys).agg(F.first("capacity").alias("capacity"), F.collect_list(row).alias("_items"))
+    return packed.select(*keys, F.explode(greedy_ids(F.col("_items"), F.col("capacity"))).alias(item))
+
+
 def _greedy_rounds(items: DataFrame, keys: Sequence[str], item: str, over: Oversize) -> DataFrame:
     """The greedy rule for groups too large to fold.
 
     In the best-first order every item up to the first that does not fit is
     taken at once, by a distributed running sum. What is left of the group is
-    what comes after that item and still fits the remaining capacity; it goes into the next
-    round. Each round shrinks the capacity below the item that blocked it.
+    what comes after that item, still fits the remaining capacity and can still be reached; it goes into the next
+    round, or is folded as soon as it is small. Each round shrinks the capacity below the item that blocked it.
     """
     order = [F.desc("_e"), F.desc(item)]
+    limit = over.limit
     work = items.withColumn("_e", _efficiency(F.col("value"), F.col("weight"))).filter(F.col("weight") <= F.col("capacity"))
     taken: list[DataFrame] = []
     while True:
@@ -463,10 +468,13 @@ def _greedy_rounds(items: DataFrame, keys: Sequence[str], item: str, over: Overs
             .filter(F.col("weight") <= F.col("capacity"))
             .select(*items.columns, "_e")
         )
-        work = checkpoint(rest)
-        if work.isEmpty():
+        # The rule takes a prefix of the items of one weight, of at most floor(capacity / weight) of them.
+        placed = with_position(rest, [*keys, "weight"], order, "_r")
+        work = checkpoint(placed.filter((F.col("_r") + 1) * F.col("weight") <= F.col("capacity")).drop("_r"))
+        over = find_oversize(work, keys, limit)
+        if over.empty:
+            taken.append(_fold_greedy(work, keys, item))
             break
-        over = find_oversize(work, keys, over.limit)
     out = taken[0]
     for more in taken[1:]:
         out = out.unionByName(more)
