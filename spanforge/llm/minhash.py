@@ -43,7 +43,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct shingle hashes of texts; hashes of words seen before come from a bounded cache."""
 
-    def __init__(self, words: int, bound: int = 500_000) -> None:
+    def __init__(self, words: int, bound: int = 150_000) -> None:
         self.words, self.bound = words, bound
         self.cache: dict[bytes, int] = {}
 

@@ -52,7 +52,7 @@ class ChunkEncoder:
 
     wide = re.compile(r"\s (?:\s|$)")
 
-    def __init__(self, path: str, cache: int = 1_000_000) -> None:
+    def __init__(self, path: str, cache: int = 500_000) -> None:
         import tiktoken
 
         self.own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={})

@@ -27,7 +27,7 @@ class Params:
 
     length: int = 50
     gram: int = 16
-    candidate_bytes: int = 32 << 20  # text whose minimizers meet in one task
+    candidate_bytes: int = 64 << 20  # text whose minimizers meet in one task
     shard_bytes: int = 8 << 20  # text whose shared strings meet in one task
     array_bytes: int = 4 << 20  # text of one suffix array
     portion: int = 4 << 20
@@ -408,14 +408,17 @@ def remove_repeats(
     total = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
     firsts = all_.groupBy("sha").agg(F.min("id").alias("id"))
     tag = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")
-    # One exchange of the texts serves all three uses below.
+    # One exchange of the texts, by id, serves all three uses below. Texts of one id are told apart by their hash, in a
+    # form that doesn't become a second join key, which would deal the texts anew for every use.
     texts = docs.select(ordered.alias("id"), body.cast("binary").alias("data"))
-    base = texts.join(firsts, "id").filter(F.sha2("data", 256) == F.col("sha")).withColumn("tag", tag)
+    base = texts.join(firsts, "id").filter(F.instr(F.sha2("data", 256), F.col("sha")) == 1).withColumn("tag", tag)
     coarse, fine = (max(1, math.ceil(total / n)) for n in (p.candidate_bytes, p.shard_bytes))
     shared = shared_minimizers(minimizer_blobs(base, coarse, p)).groupBy("id").agg(F.collect_list("flags").alias("flags"))
     found = removals(snippet_blobs(base.join(shared, "id"), fine, p), p)
-    found = found.groupBy("id", "tag").agg(F.collect_list("spans").alias("spans"))
-    cut = base.join(found, ["id", "tag"], "left")
+    # Joined by id alone, as the texts are dealt already; the tag picks the spans of this text.
+    found = found.groupBy("id").agg(F.collect_list(F.struct("tag", "spans")).alias("found"))
+    own = F.transform(F.filter("found", lambda x: x["tag"] == F.col("tag")), lambda x: x["spans"])
+    cut = base.join(found, "id", "left").withColumn("spans", own)
 
     added = {"n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
     added |= {"kept_text": pa.string()} if kept_text else {}

@@ -153,7 +153,7 @@ def quoted(text: str, start: int, end: int, window: int) -> bool:
 class Matcher:
     """Evidence in texts; words seen before are remembered within a bound."""
 
-    def __init__(self, model: Model, bound: int = 400_000) -> None:
+    def __init__(self, model: Model, bound: int = 150_000) -> None:
         self.model, self.bound = model, bound
         self.automaton = Automaton(model.terms)
         self.known: set[str] = set()
