@@ -29,6 +29,7 @@ class Params:
     gram: int = 16
     candidate_bytes: int = 64 << 20  # text whose minimizers meet in one task
     shard_bytes: int = 8 << 20  # text whose shared strings meet in one task
+    part_bytes: int = 1 << 20  # text whose shared minimizers are sorted by text in one task
     array_bytes: int = 4 << 20  # text of one suffix array
     portion: int = 4 << 20
 
@@ -142,8 +143,11 @@ def minimizer_blobs(texts: DataFrame, buckets: int, p: Params) -> DataFrame:
     return texts.select("id", "data").mapInArrow(work, "bucket long, ids binary, counts binary, data binary")
 
 
-def shared_minimizers(blobs: DataFrame) -> DataFrame:
-    """(id, flags): for each text the minimizers that a text with another id holds too."""
+def shared_minimizers(blobs: DataFrame, parts: int) -> DataFrame:
+    """(id, flags): for each text the minimizers that a text with another id holds too.
+
+    What a bucket finds goes back in one row for each of ``parts`` groups of texts, where it is sorted by text.
+    """
 
     def work(table: pa.Table) -> pa.Table:
         join = lambda name: b"".join(table[name].to_pylist())
@@ -155,13 +159,25 @@ def shared_minimizers(blobs: DataFrame) -> DataFrame:
         several = np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head)
         keep = np.repeat(several, np.diff(np.append(head, len(m))))
         m, ids = m[keep], ids[keep]
+        part = _bucket(ids.astype(np.uint64), parts)
+        order = np.argsort(part, kind="stable")
+        data, ids, part = _pack48(m[order]), ids[order].astype("<i8"), part[order]
+        own, at = np.unique(part, return_index=True)
+        cuts = list(zip(at, [*at[1:], len(ids)]))
+        columns = [pa.array(own, pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (ids, data))]
+        return pa.table(columns, names=["part", "ids", "data"])
+
+    def by_text(table: pa.Table) -> pa.Table:
+        ids = np.frombuffer(b"".join(table["ids"].to_pylist()), "<i8")
+        data = np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8).reshape(-1, 6)
         order = np.argsort(ids, kind="stable")
-        data, ids = _pack48(m[order]), ids[order]
+        ids, data = ids[order], data[order]
         own, at = np.unique(ids, return_index=True)
         flags = [data[a:b].tobytes() for a, b in zip(at, [*at[1:], len(ids)])]
         return pa.table([pa.array(own, pa.int64()), pa.array(flags, pa.binary())], names=["id", "flags"])
 
-    return blobs.groupBy("bucket").applyInArrow(work, "id long, flags binary")
+    found = blobs.groupBy("bucket").applyInArrow(work, "part long, ids binary, data binary")
+    return found.groupBy("part").applyInArrow(by_text, "id long, flags binary")
 
 
 def snippet_blobs(texts: DataFrame, buckets: int, p: Params) -> DataFrame:
@@ -175,7 +191,7 @@ def snippet_blobs(texts: DataFrame, buckets: int, p: Params) -> DataFrame:
                 m, who, first, last = runs(texts, p)
                 if not len(m):
                     continue
-                flags = [_unpack48(b"".join(f)) for f in part.column(3).to_pylist()]
+                flags = [_unpack48(f) for f in part.column(3).to_pylist()]
                 cut = np.searchsorted(who, np.arange(len(texts) + 1))
                 hit = np.zeros(len(m), bool)
                 for k, f in enumerate(flags):
@@ -413,7 +429,7 @@ def remove_repeats(
     texts = docs.select(ordered.alias("id"), body.cast("binary").alias("data"))
     base = texts.join(firsts, "id").filter(F.instr(F.sha2("data", 256), F.col("sha")) == 1).withColumn("tag", tag)
     coarse, fine = (max(1, math.ceil(total / n)) for n in (p.candidate_bytes, p.shard_bytes))
-    shared = shared_minimizers(minimizer_blobs(base, coarse, p)).groupBy("id").agg(F.collect_list("flags").alias("flags"))
+    shared = shared_minimizers(minimizer_blobs(base, coarse, p), max(1, math.ceil(total / p.part_bytes)))
     found = removals(snippet_blobs(base.join(shared, "id"), fine, p), p)
     # Joined by id alone, as the texts are dealt already; the tag picks the spans of this text.
     found = found.groupBy("id").agg(F.collect_list(F.struct("tag", "spans")).alias("found"))
