@@ -42,7 +42,7 @@ def byte_ranks(path: str) -> dict[bytes, int]:
 
 
 class ChunkEncoder:
-    """Ids as the tokenizers library gives them, chunk by chunk, with a bounded cache.
+    """Ids of ordinary text (no added tokens) as the tokenizers library gives them, chunk by chunk, with a bounded cache.
 
     The split pattern of byte-level BPE begins a new token at every space after a non-space and at every space
     before one, so a text may be cut there and its chunks encoded apart. Texts with longer runs of white space
@@ -78,9 +78,40 @@ class ChunkEncoder:
             yield b"".join([self._ids(first), *[get(w) or missing(w) for w in rest]])
 
 
+class TextEncoder:
+    """Ids as the tokenizers library gives them with the file as it is loaded: its added tokens keep their own ids.
+
+    The library cuts a text at its added tokens, leftmost and longest first, and encodes the parts apart. Texts of a file whose
+    added tokens also look at their neighbours (single words, stripped white space) go to the library itself where they hold one.
+    """
+
+    def __init__(self, path: str) -> None:
+        added = [t for t in json.loads(Path(path).read_text()).get("added_tokens") or [] if t["content"]]
+        self.plain = ChunkEncoder(path)
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        self.marks = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
+        self.library = None
+        if any(t.get(name) for t in added for name in ("single_word", "lstrip", "rstrip")):
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for text in texts:
+            if not any(t in text for t in self.added):
+                yield from self.plain.encode([text])
+            elif self.library is not None:
+                yield array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                parts = self.marks.split(text)  # every second part is an added token
+                parts[::2] = self.plain.encode(parts[::2])
+                parts[1::2] = [self.added[t] for t in parts[1::2]]
+                yield b"".join(parts)
+
+
 @lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def text_encoder(path: str) -> TextEncoder:
+    return TextEncoder(path)
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str, text: str) -> DataFrame:
@@ -89,7 +120,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key:
     def work(texts: list[str]) -> dict[str, list]:
         out: dict[str, list] = {"lengths": [], "crcs": []}
         end = int(end_id).to_bytes(4, "little")
-        for ids in chunk_encoder(tokenizer).encode(texts):
+        for ids in text_encoder(tokenizer).encode(texts):
             ids += end
             n = len(ids) // 4
             first = n % capacity or capacity
@@ -178,23 +209,35 @@ def _step(own, donor, size, home, fill, alive, capacity):
     gap = capacity - fill
     other = alive & (np.arange(len(fill)) != donor)
     most = int(gap[other].max(initial=0))
-    best, found = 0, None
     for k in own:
         if size[k] <= most:
             return np.array([k]), -1  # a move
     room = np.where(other[home], gap[home], -1)
-    reach = size + room  # what could stand in place of each item
-    groups = [np.array([k]) for k in own]
-    groups += [np.array([j, k]) for a, j in enumerate(own) for k in own[a + 1 : a + 6]]
-    for g in groups:
-        give = int(size[g].sum())
-        fit = np.flatnonzero((room >= 0) & (size < give) & (reach >= give))
-        if len(fit):
-            at = fit[np.argmin(size[fit])]
-            gain = give - int(size[at]) + (len(g) == 2)  # two-for-one also leaves one item less
-            if gain > best:
-                best, found = gain, (g, int(at))
-    return found
+    usable = np.flatnonzero(room >= 0)
+    if not len(usable):
+        return None
+    # What could stand in place of each item, falling: of the items that reach a sum, the smallest is the one to take back.
+    reach = (size + room)[usable]
+    order = np.argsort(-reach, kind="stable")
+    reach, items = reach[order], usable[order]
+    fresh = np.append(True, size[items][1:] < np.minimum.accumulate(size[items])[:-1])
+    least = items[np.maximum.accumulate(np.where(fresh, np.arange(len(items)), 0))]
+    # All single items and all pairs of the donor; equal sizes are one, so there are few sums.
+    kinds, count = np.unique(size[own], return_counts=True)
+    a, b = np.triu_indices(len(kinds))
+    a, b = a[(a < b) | (count[a] > 1)], b[(a < b) | (count[a] > 1)]
+    give = np.concatenate([kinds, kinds[a] + kinds[b]])
+    covered = np.searchsorted(-reach, -give, side="right")
+    back = least[np.maximum(covered - 1, 0)]
+    two = np.arange(len(give)) >= len(kinds)  # two-for-one also leaves one item less
+    gain = np.where((covered > 0) & (size[back] < give), give - size[back] + two, 0)
+    best = int(np.argmax(gain))
+    if gain[best] <= 0:
+        return None
+    if not two[best]:
+        return own[size[own] == kinds[best]][:1], int(back[best])
+    x, y = kinds[a[best - len(kinds)]], kinds[b[best - len(kinds)]]
+    return np.array([own[size[own] == x][0], own[size[own] == y][-1]]), int(back[best])
 
 
 def pack_sizes(sizes: np.ndarray, capacity: int, before: np.ndarray | None = None) -> np.ndarray:

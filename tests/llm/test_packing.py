@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -92,6 +93,61 @@ def test_local_search_keeps_items_and_empties_bins():
         assert all(sum(sizes[i] for i in b) <= 100 for b in better)
 
 
+MARKED = [
+    "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", " \n <|endoftext|> \n\n z  ", "<|endoftext", "a  <|endoftext|>  b  c",
+    "<|ENDOFTEXT|> <|endoftext|>", "word <|endoftext|>" * 700,
+]
+
+
+def test_added_tokens_keep_their_ids(spark, make_docs):
+    loaded = Tokenizer.from_file(PATH)
+    for text, ids in zip(MARKED, packing.TextEncoder(PATH).encode(MARKED), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == loaded.encode(text, add_special_tokens=False).ids, repr(text)
+    docs = list(enumerate(MARKED))
+    check(loaded, docs, packing.pack_documents(make_docs(docs), PATH).collect())
+
+
+def test_added_tokens_that_strip_go_to_the_library(tmp_path):
+    path = tmp_path / "strips.json"
+    model = json.loads(open(PATH).read())
+    model["added_tokens"][0] |= {"lstrip": True, "rstrip": True}
+    path.write_text(json.dumps(model))
+    loaded = Tokenizer.from_file(str(path))
+    for text, ids in zip(MARKED, packing.TextEncoder(str(path)).encode(MARKED), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == loaded.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_steps_look_at_all_pairs():
+    rnd, capacity = random.Random(5), 1000
+    cases = [[[70, 60, 59, 58, 57, 56, 10], [79, 920]]]  # only 70 + 10 can stand in place of 79
+    for _ in range(300):
+        cases.append([[rnd.randrange(8, 80) for _ in range(rnd.randrange(1, 12))] for _ in range(5)])
+        for b in cases[-1][1:]:
+            b.append(capacity - sum(b) - rnd.randrange(1, 3))
+    for bins in cases:
+        size = np.array([x for b in bins for x in b])
+        home = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+        fill = np.array([sum(b) for b in bins])
+        own = np.flatnonzero(home == 0)
+        found = packing._step(own, 0, size, home, fill, np.ones(len(bins), bool), capacity)
+        if found is not None and found[1] < 0:
+            continue
+        groups = [[j] for j in own] + [[j, k] for j in own for k in own if j < k]
+        gains = [
+            sum(size[g]) - size[i] + (len(g) == 2)
+            for g in groups
+            for i in np.flatnonzero(home != 0)
+            if size[i] < sum(size[g]) <= size[i] + capacity - fill[home[i]]
+        ]
+        if found is None:
+            assert not gains
+            continue
+        out, back = found
+        assert len(set(out.tolist())) == len(out) and set(home[out]) == {0} and home[back] != 0
+        assert size[back] < sum(size[out]) <= size[back] + capacity - fill[home[back]]
+        assert sum(size[out]) - size[back] + (len(out) == 2) == max(gains)
+
+
 def test_odd_rows(spark, odd, none, library):
     rows = packing.pack_documents(odd, PATH).collect()
     assert sum(r["length"] == 1 for r in rows) == 3
