@@ -20,7 +20,20 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Added kinds.
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+IBAN_GROUP = re.compile(r"[ ]?[A-Z0-9]+")
+IBAN_SIZES = (15, 34)
+# Characters of an account number by country; those of other countries are found by their checksum alone.
+IBAN_LENGTH = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -76,6 +89,29 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers: upper-case words and numbers may follow one, so it may end at any border of a group.
+
+    The length of the country is tried first, then the longest end, and for countries without a known length all others.
+    """
+    done = 0
+    for m in IBAN_HEAD.finditer(text):
+        if m.start() < done:
+            continue
+        code, at, ends = m[0], m.end(), {}
+        while len(code) <= IBAN_SIZES[1] and (group := IBAN_GROUP.match(text, at)):
+            code, at = code + group[0].lstrip(" "), group.end()
+            if IBAN_SIZES[0] <= len(code) <= IBAN_SIZES[1] and not "a" <= text[at : at + 1] <= "z":
+                ends[len(code)] = at
+        sizes = sorted(ends, reverse=True)
+        own = IBAN_LENGTH.get(m[0][:2])
+        for n in sizes if own is None else [*([own] if own in ends else []), *sizes[:1]]:
+            if mod97(code[:n]):
+                done = ends[n]
+                yield m.start(), done
+                break
+
+
 def find_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), sorted by start and kind; ends are exclusive, in code points."""
     found = []
@@ -90,10 +126,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     for m in PHONE.finditer(text) if "+" in text else ():
         if 10 <= len(_digits(m[0])) <= 15:
             found.append((*m.span(), "phone"))
-    for m in IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            found.append((*m.span(), "iban"))
+    found += [(a, b, "iban") for a, b in _ibans(text)]
     found += [(*m.span(), "ssn") for m in SSN.finditer(text)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 

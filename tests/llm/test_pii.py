@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from spanforge.llm import pii
@@ -49,6 +50,37 @@ def test_added_kinds_and_context():
     assert pii.mask("to a@b.cd or 1.2.3.4", pii.find_spans("to a@b.cd or 1.2.3.4")) == "to <EMAIL> or <IP>"
 
 
+def test_account_numbers_before_other_words():
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    cases = [
+        ("IBAN # BIC COBADEFFXXX", [german]), ("# 2024", [german.replace(" ", "")]), ("# EUR 100", [british]), ("IBAN:# BIC", [german]),
+        ("# #", [german, british]), ("AB12 CDEF GHIJ KLMN #", [german]), ("# A B C D E F G H I J K L M N O P Q R S T", [german]),
+        ("AB12 CDEF GHIJ # \n", [british]), ("#a", []), ("#é", [german]), ("#0", []), ("XY13 ABCD EFGH IJK", []),
+    ]
+    for text, codes in cases:
+        want, rest = [], text
+        for code in codes or [german]:
+            at = rest.index("#") if "#" in rest else 0
+            want.append((at, at + len(code), "iban"))
+            rest = rest.replace("#", code, 1)
+        assert [s for s in pii.find_spans(rest) if s[2] == "iban"] == (want if codes else []), rest
+    text = f"IBAN {german} BIC COBADEFFXXX"
+    assert pii.mask(text, pii.find_spans(text)) == "IBAN <IBAN> BIC COBADEFFXXX"
+    # A country without a known length: the checksum finds the end.
+    digits = next(f"{k:02}" for k in range(2, 99) if pii.mod97(f"QQ{k:02}ABCD12345678901"))
+    assert pii.find_spans(f"QQ{digits} ABCD 1234 5678 901 BIC X")[0] == (0, 23, "iban")
+
+
+def test_account_numbers_found_before_stay():
+    old = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+    rnd = random.Random(4)
+    for _ in range(20_000):
+        text = rnd.choice(["DE", "NO", "QQ"]) + "12" + "".join(rnd.choice("A1 a0.") if rnd.random() < 0.2 else rnd.choice("0123456789AB") for _ in range(rnd.randrange(10, 40)))
+        for m in old.finditer(text):
+            if pii.mod97(m[0].replace(" ", "")):
+                assert any(k == "iban" and a == m.start() for a, _, k in pii.find_spans(text)), text
+
+
 def test_long_runs_stay_linear():
     assert pii.find_spans("1" * 400_000) == []
     assert pii.find_spans("a" * 400_000) == []
