@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.llm.fingerprint import K, sketch
 from spanforge.llm.shared import map_texts, text_or_empty
+from spanforge.session import checkpoint
 
 WORD = re.compile(r"[^\W_]+(?:[*@$#!]{1,3}[^\W_]+)*")
 # Marks that open and close quotations, and words that report or discuss speech.
@@ -199,25 +201,54 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string")) % 5 == 0
 
 
+def near_copies(kinds: list[int], sketches: list[list[int]], least: float = 0.8, k: int = K) -> list[int]:
+    """Numbers of the rows whose sketch resembles that of an earlier row of their kind that stays.
+
+    Two such sketches share ``least`` of the longer one, so one of the rarest hashes of a sketch leads to each row it resembles.
+    """
+    gone: list[int] = []
+    sets = [set(s) for s in sketches]
+    places: dict[tuple[int, int], list[int]] = {}
+    for row, (kind, own) in enumerate(zip(kinds, sets, strict=True)):
+        lists = sorted((places.get((kind, h), []) for h in own), key=len)
+        seen = {r for at in lists[: len(own) - math.ceil(least * len(own)) + 1] for r in at}
+        for r in seen:
+            both = own & sets[r]
+            if len(both) >= least * max(len(own), len(sets[r])):
+                union = sorted(own | sets[r])[:k]
+                if len(both.intersection(union)) >= least * len(union):
+                    gone.append(row)
+                    break
+        else:
+            for h in own:
+                places.setdefault((kind, h), []).append(row)
+    return gone
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, p: Params, key: str, text: str) -> DataFrame:
     """(toxic, text) of a bounded sample of labelled documents: the first of each class by the hash of the id.
 
-    A document with several labels is toxic if one says so. Of texts that begin or end alike one is kept, as
-    copies would turn their rare words into terms.
+    A document with several labels is toxic if one says so. Copies would turn their rare words into terms, so of texts of one
+    class that are equal but for case one is taken, before the bounds hold; of those taken, near copies go by their sketches.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~F.coalesce(held_out(F.col(key)), F.lit(True)))
     known = known.groupBy(F.col(key).alias("_key")).agg(F.max("toxic").alias("_toxic"))
-    order = (F.xxhash64("_key"), F.col("_key"))
-    toxic = known.filter("_toxic = 1").orderBy(*order).limit(p.toxic_rows)
-    picked = toxic.unionByName(known.filter("_toxic = 0").orderBy(*order).limit(p.clean_rows))
     texts = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text"))
-    sample = texts.join(F.broadcast(picked), "_key").select(
-        F.col("_toxic").cast("int").alias("toxic"), "_text", F.lower(F.substring("_text", 1, 40)).alias("_head"), F.lower(F.right("_text", F.lit(40))).alias("_tail")
-    )
-    for side in ("_head", "_tail"):
-        sample = sample.groupBy("toxic", side).agg(F.min_by(F.struct("_text", "_head", "_tail"), F.col("_text")).alias("_one"))
-        sample = sample.select("toxic", "_one.*")
-    return sample.select("toxic", "_text")
+    texts = texts.withColumn("_sha", F.sha2(F.lower("_text"), 256))
+    order = F.struct(F.xxhash64("_key"), "_key")
+    firsts = checkpoint(texts.select("_key", "_sha").join(known, "_key").groupBy("_toxic", "_sha").agg(F.min(order).alias("_order")))
+    toxic = firsts.filter("_toxic = 1").orderBy("_order").limit(p.toxic_rows)
+    picked = toxic.unionByName(firsts.filter("_toxic = 0").orderBy("_order").limit(p.clean_rows))
+    picked = picked.select("_toxic", "_sha", F.col("_order._key").alias("_key"), "_order")
+    sample = texts.join(F.broadcast(picked), ["_key", "_sha"]).groupBy("_toxic", "_sha")
+    sample = checkpoint(sample.agg(F.min("_order").alias("_order"), F.min("_text").alias("_text")))
+    found = sample.orderBy("_order", "_toxic").select("_toxic", "_sha", sketch(F.col("_text")).alias("_sketch")).toArrow()
+    kinds, shas = found["_toxic"].to_pylist(), found["_sha"].to_pylist()
+    gone = near_copies(kinds, found["_sketch"].to_pylist())
+    if gone:
+        copies = docs.sparkSession.createDataFrame([(int(kinds[k]), shas[k]) for k in gone], "_toxic long, _sha string")
+        sample = sample.join(F.broadcast(copies), ["_toxic", "_sha"], "left_anti")
+    return sample.select(F.col("_toxic").cast("int").alias("toxic"), "_text")
 
 
 def _term_counts(sample: DataFrame, p: Params) -> DataFrame:

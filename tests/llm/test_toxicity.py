@@ -79,3 +79,28 @@ def test_query_on_held_out_rows(spark):
     known = {r["doc_id"]: r["toxic"] for r in table(spark, sf, "labels").collect()}
     held = [r for r in rows if r["held_out"] and r["doc_id"] in known]
     assert sum(r["predicted"] == known[r["doc_id"]] for r in held) / len(held) > 0.9
+
+
+def test_texts_that_only_begin_or_end_alike_all_count(spark):
+    head, foot = "an opening of more than forty characters in all texts. ", " this text is given under a licence of more than forty characters"
+    n = 120
+    rows = [(i, f"{head}plain words {i} about rivers {i * 7} and hills {i * 11} and trees{foot}", 0) for i in range(n)]
+    rows += [(n + i, f"{head}note {i} you {['idiot', 'moron'][i % 2]} of {i * 3} and more {i * 5}{foot}", 1) for i in range(n)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    sample = tox.training_sample(docs, labels, tox.Params(), "doc_id", "text").collect()
+    assert len(sample) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in rows)
+    assert {"idiot", "moron"} <= {t.text for t in tox.learn(docs, labels).terms}
+
+
+def test_copies_count_once_and_take_no_place(spark):
+    long = " ".join(f"word{k}" for k in range(100))
+    texts = [long, long.upper(), long + " end", "start " + long] + [f"{i} text {i * 3} of {i * 7} its {i * 9} own" for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([long] * 60 + texts)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "1 AS toxic")
+    held = [i for i in range(60, 60 + len(texts)) if zlib.crc32(str(i).encode()) % 5 == 0]
+    own = sum(i >= 64 and i not in held for i in range(60, 60 + len(texts)))
+    sample = tox.training_sample(docs, labels, tox.Params(), "doc_id", "text").collect()
+    assert len(sample) == own + 1 and sum("word99" in r["_text"].lower() for r in sample) == 1
+    few = tox.training_sample(docs, labels, tox.Params(toxic_rows=20), "doc_id", "text").collect()
+    assert len(few) >= 17  # 60 equal texts take one place, not most of the twenty
