@@ -137,8 +137,9 @@ class Automaton:
             state = self._step(state, c) if to is None else to
             if state == self.dead:
                 return stem
-            stem = self.stems[state] or stem
-        return self.match[state] or stem
+            if (found := self.stems[state]) is not None:
+                stem = found if stem is None else min(stem, found)
+        return min((m for m in (self.match[state], stem) if m is not None), default=None)
 
 
 def quoted(text: str, start: int, end: int, window: int) -> bool:
@@ -275,7 +276,11 @@ def _term_counts(sample: DataFrame, p: Params) -> DataFrame:
 
 
 def _choose(rows: list, p: Params) -> list[Term]:
-    """Terms from candidates by falling evidence: a beginning gives way to a longer term that is as telling."""
+    """Terms from candidates by falling evidence: a beginning gives way to a longer term that is as telling.
+
+    Whole words that begin with a chosen beginning come after the others and beyond ``max_terms``: the beginning already matches
+    them as they are, they are there for their misspellings.
+    """
     counts = {r["term"]: (r["pos"], r["neg"]) for r in rows}
     chosen: list[tuple[str, float]] = []
     for r in rows:
@@ -288,6 +293,8 @@ def _choose(rows: list, p: Params) -> list[Term]:
         chosen.append((term, share))
     stems = {t for t, _ in chosen if not t.endswith("$")}
     kept = [(t, w) for t, w in chosen if not any(t.startswith(s) and t != s for s in stems)][: p.max_terms]
+    taken = tuple(t for t, _ in kept if not t.endswith("$"))
+    kept += [(t, w) for t, w in chosen if t.endswith("$") and t.startswith(taken)]
     # Misspellings are looked for in whole words, the more the longer they are.
     edits = lambda t: 0 if len(t) < 5 else 1 if len(t) < 9 else 2
     return [Term(t.rstrip("$"), not t.endswith("$"), round(w, 4), edits(t[:-1]) if t.endswith("$") else 0) for t, w in kept]

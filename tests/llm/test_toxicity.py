@@ -104,3 +104,23 @@ def test_copies_count_once_and_take_no_place(spark):
     assert len(sample) == own + 1 and sum("word99" in r["_text"].lower() for r in sample) == 1
     few = tox.training_sample(docs, labels, tox.Params(toxic_rows=20), "doc_id", "text").collect()
     assert len(few) >= 17  # 60 equal texts take one place, not most of the twenty
+
+
+def test_inflected_terms_catch_misspellings(spark):
+    clean = [(i, f"plain words number {i} about rivers and hills and trees {i * 7}", 0) for i in range(400)]
+    bad = [(400 + i, f"note {i} you {'idiot' if i % 5 < 3 else 'idiots'} of {i * 3}", 1) for i in range(125)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in clean + bad], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in clean + bad], "doc_id long, quality int, toxic int")
+    model = tox.learn(docs, labels)
+    assert any(t.stem and t.text == "idio" for t in model.terms)
+    found = tox.Matcher(model).words("idiot idiots idiotic id1ot ixdiot idi0ts rivers")
+    assert {"idiot", "idiots", "idiotic", "id1ot", "ixdiot", "idi0ts"} == found.keys()
+    assert {w for w, (edits, _) in found.items() if edits == 0} == {"idiot", "idiots", "idiotic"}
+
+
+def test_words_beside_a_stem_come_beyond_the_bound():
+    rows = [{"term": t, "pos": n, "neg": 0} for t, n in (("idio", 100), ("scum$", 90), ("idiot$", 60), ("idiots$", 40))]
+    got = tox._choose(rows, tox.Params(max_terms=2))
+    assert [(t.text, t.stem, t.edits) for t in got] == [("idio", True, 0), ("scum", False, 0), ("idiot", False, 1), ("idiots", False, 1)]
+    automaton = tox.Automaton(tuple(got))
+    assert automaton.find("idiotx") == (0, 0)  # the exact beginning goes before a misspelt word
