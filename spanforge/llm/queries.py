@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import ann, bpe, chat_format, fingerprint, minhash, packing, pii, suffix_dedup, toxicity, url_filter
+from spanforge.llm import (
+    alignment,
+    ann,
+    bpe,
+    chat_format,
+    chunk_bpe,
+    fingerprint,
+    minhash,
+    packing,
+    pii,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
 from spanforge.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +242,19 @@ def op9_suffix_dedup(spark, sf):
 @query("op10_packing")
 def op10_packing(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op11_alignment")
+def op11_alignment(spark, sf):
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_texts(table(spark, sf, "documents"), first, second)
+
+
+@query("op12_chunk_bpe")
+def op12_chunk_bpe(spark, sf):
+    return chunk_bpe.encode_texts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
+
+
+@query("op13_vector_codes", vector_codes.compress_sql())
+def op13_vector_codes(spark, sf):
+    return vector_codes.compress(table(spark, sf, "embeddings"))
