@@ -38,11 +38,13 @@ def brute(docs):
         if not t or not b"".join(a_bytes) == b"".join(b_bytes) == (" " + t).encode():
             a = b = a_bytes = b_bytes = []
         a_ends, b_ends = (np.cumsum([len(x) for x in s]).tolist() for s in (a_bytes, b_bytes))
-        groups, links, low = [], Counter(), 0
+        groups, links = [], Counter()
+        x, y = 0, 0
         for end in sorted(set(a_ends) & set(b_ends)):
-            groups.append(([i for i, e in zip(a, a_ends) if low < e <= end], [i for i, e in zip(b, b_ends) if low < e <= end]))
-            links.update((x, y) for x in groups[-1][0] for y in groups[-1][1])
-            low = end
+            i, j = a_ends.index(end, x) + 1, b_ends.index(end, y) + 1
+            groups.append((a[x:i], b[y:j]))
+            links.update((p, q) for p in a[x:i] for q in b[y:j])
+            x, y = i, j
         held.update(links.keys())
         per.append((d, a, b, groups, links))
     top = {}
