@@ -10,6 +10,7 @@ from spanforge.plans.registry import R6, query, r6, with_ctes
 from spanforge.plans.stats_plans import GTFRAMES, labelled_frames, rounded
 from spanforge.plans.text_plans import joined, trimmed
 from spanforge.session import fresh_dir
+from spanforge.sources import json_maps
 from spanforge.sources import records as rec
 from spanforge.sources import views
 from spanforge.sources.views import FRAMES, SEGMENTS, SENTENCES, SHOT_FRAMES
@@ -235,10 +236,23 @@ def read_json_map(spark, sf):
     one = F.struct(F.col("conv_id").cast("string").alias("key"), F.struct("frames").alias("value"))
     maps = talks.groupBy(F.floor(F.col("conv_id") / 20)).agg(F.map_from_entries(F.collect_list(one)).alias("m"))
     maps.select(F.to_json("m")).write.text(path)
-    frames = rec.parse_nested_docs(rec.read_json_map(spark, path, "talks"))["frames"]
+    frames = rec.parse_nested_docs(json_maps.read_json_map(spark, path, "talks"))["frames"]
     return frames.select("video_id", "frame_id", "description")
 
 
+@query("read_json_map_texts", "SELECT CAST(doc_id AS VARCHAR) AS video_id, md5(text) AS text, lang FROM documents WHERE text IS NOT NULL")
+def read_json_map_texts(spark, sf):
+    """Maps of whole texts, with their brackets, quotes and escapes, read by ranges of one megabyte."""
+    path = fresh_dir(spark, "maps")
+    docs = views.table(spark, sf, "documents").filter("text IS NOT NULL")
+    one = F.struct(F.col("doc_id").cast("string").alias("key"), F.struct("text", "lang").alias("value"))
+    maps = docs.groupBy(F.floor(F.col("doc_id") / 20)).agg(F.map_from_entries(F.collect_list(one)).alias("m"))
+    maps.select(F.to_json("m")).write.text(path)
+    found = json_maps.read_json_map(spark, path, "texts")
+    d = F.from_json("doc", "text STRING, lang STRING")
+    return found.select("video_id", F.md5(d["text"]).alias("text"), d["lang"].alias("lang"))
+
+
 @query(
     "votes_from_matrix",
     """SELECT CAST(vec_id AS VARCHAR) AS video_id, u AS user_id, (i - 1) * 15 AS frame, CASE WHEN embedding[i] > u * 0.1::FLOAT THEN 1 ELSE 0 END AS selected

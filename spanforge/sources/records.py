@@ -102,15 +102,6 @@ def load_nested_docs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return parse_nested_docs(lines)
 
 
-def read_json_map(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """A ``{video_id: {...}}`` file as one row per video."""
-    whole = spark.read.text(path, wholetext=True)
-    entries = F.explode(F.map_entries(F.from_json("value", f"MAP<STRING, STRUCT<{DOC_FIELDS}>>"))).alias("e")
-    return whole.select(entries).select(
-        F.lit(dataset).alias("dataset"), F.col("e.key").alias("video_id"), F.to_json("e.value").alias("doc")
-    )
-
-
 def union_annotations(files: Sequence[DataFrame], key: str = "video_id") -> DataFrame:
     """Several annotation tables; a later one replaces rows of the same id."""
     tagged = [f.withColumn("_file", F.lit(i)) for i, f in enumerate(files)]
