@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import index
+from spanforge.operators import kernel_blocks
+from spanforge.operators.kernel_blocks import STRIP, alone_limit, cut_tiles, gap_tiles, mass_of
 from spanforge.operators.ordered import KEYS, Oversize, find_oversize, running_sum, with_position
 from spanforge.session import checkpoint, row_limit
 
-# Rows of a kernel that are computed at once.
-STRIP = 256
 # Distances that may be sorted at once when the middle one is looked for.
 SORTED_GAPS = 1 << 22
 # Items of one group that are packed into a row and folded there; more only after the reduction of large groups.
@@ -107,23 +107,13 @@ def segment_score(frames: DataFrame, segments: DataFrame, at: str = "step") -> D
 
 
 def kernel_sum(x: np.ndarray, sigma: float) -> float:
-    """Sum of the Gaussian kernel over all pairs of rows, in strips."""
-    norms = (x * x).sum(axis=1)
-    total = 0.0
-    for at in range(0, len(x), STRIP):
-        gaps = norms[at : at + STRIP, None] + norms[None, :] - 2.0 * (x[at : at + STRIP] @ x.T)
-        total += float(np.exp(-gaps / (2.0 * sigma * sigma)).sum())
-    return total
+    """Sum of the Gaussian kernel over all pairs of rows, in tiles."""
+    return mass_of(cut_tiles(x), None, sigma)
 
 
 def _gap_strips(x: np.ndarray) -> Iterator[np.ndarray]:
-    """Non-zero distances of all pairs, some rows of the triangle at a time."""
-    norms = (x * x).sum(axis=1)
-    for at in range(0, len(x), STRIP):
-        own = x[at : at + STRIP]
-        gaps = np.maximum(norms[at : at + STRIP, None] + norms[None, at:] - 2.0 * (own @ x[at:].T), 0.0)
-        gaps = np.sqrt(gaps[np.triu_indices(len(own), 1, len(x) - at)])
-        yield gaps[gaps > 0]
+    """Non-zero distances of all pairs, one tile of the triangle at a time."""
+    return gap_tiles(cut_tiles(x))
 
 
 def _median_gap(x: np.ndarray) -> float:
@@ -163,7 +153,8 @@ def _median_gap(x: np.ndarray) -> float:
 def median_bandwidth(frames: DataFrame, sample: int | None = None, seed: int = 42) -> DataFrame:
     """Median non-zero distance between the vectors of a group, over all pairs.
 
-    Pairs are looked at in strips inside the group's task and never become rows. With ``sample`` only so
+    Pairs are looked at in tiles inside a task and never become rows; a group above ``kernel_blocks.ALONE`` rows is spread over
+    tasks of two blocks of vectors, with the same result. With ``sample`` only so
     many steps of a group are drawn, in md5 order and before the shuffle.
     """
     from spanforge.operators.sampling import draw_key
@@ -173,11 +164,21 @@ def median_bandwidth(frames: DataFrame, sample: int | None = None, seed: int = 4
         w = Window.partitionBy(*KEYS).orderBy(draw_key(seed, columns=[*KEYS, "step"]), "step")
         own = own.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= sample)
 
+    own = own.select(*KEYS, "step", "feature")
+    over = find_oversize(own, KEYS, alone_limit(own.sparkSession))
+    rest, big = over.split(own, KEYS)
+
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group["feature"].to_numpy()).astype("float64")
+        x = np.stack(group.sort_values("step")["feature"].to_numpy()).astype("float64")
         return pd.DataFrame({**{k: [group[k].iloc[0]] for k in KEYS}, "sigma": [_median_gap(x)]})
 
-    return own.select(*KEYS, "feature").groupBy(*KEYS).applyInPandas(one, "dataset string, video_id string, sigma double")
+    out = None
+    if rest is not None:
+        out = rest.groupBy(*KEYS).applyInPandas(one, "dataset string, video_id string, sigma double")
+    if big is not None:
+        spread = kernel_blocks.median_gap_by_blocks(big, over)
+        out = spread if out is None else out.unionByName(spread)
+    return out
 
 
 def _gains(x: np.ndarray, sigma: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -229,12 +230,15 @@ def segment_by_kernel(
 ) -> DataFrame:
     """Change points of vector sequences; inclusive [start, end] per segment.
 
-    Sequences of any length are solved as one. Only where the caller asks for ``block`` are cuts
-    forced at every so many steps.
+    Sequences of any length are solved as one; those above ``kernel_blocks.ALONE`` steps by blocks over several tasks. Only where
+    the caller asks for ``block`` are cuts forced at every so many steps.
     """
     sized = frames.select(*KEYS, "step", "feature").join(median_bandwidth(frames), list(KEYS))
     part = F.lit(0) if block is None else F.floor(F.col("step") / block)
     sized = sized.withColumn("block", part.cast("long"))
+    parts = [*KEYS, "block"]
+    over = find_oversize(sized, parts, alone_limit(frames.sparkSession))
+    sized, big = over.split(sized, parts)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("step")
@@ -251,18 +255,37 @@ def segment_by_kernel(
             }
         )
 
-    pieces = sized.groupBy(*KEYS, "block").applyInPandas(
-        one, "dataset string, video_id string, start long, end long"
-    )
+    pieces = None
+    if sized is not None:
+        pieces = sized.groupBy(*parts).applyInPandas(one, "dataset string, video_id string, start long, end long")
+    if big is not None:
+        # Forced blocks are sequences of their own, named apart while they are solved.
+        apart = F.concat_ws("#", F.col("block"), F.col("video_id"))
+        named = big.withColumn("video_id", apart)
+        base = named.groupBy(*KEYS).agg(F.min("step").alias("_base"))
+        cut = kernel_blocks.cuts_by_blocks(named.drop("block"), steps_per_segment, min_len, find_oversize(named, KEYS))
+        cut = cut.join(base, list(KEYS)).select(
+            "dataset",
+            F.expr("substring(video_id, instr(video_id, '#') + 1)").alias("video_id"),
+            (F.col("start") + F.col("_base")).alias("start"),
+            (F.col("end") + F.col("_base")).alias("end"),
+        )
+        pieces = cut if pieces is None else pieces.unionByName(cut)
     return with_position(pieces, KEYS, [F.col("start")], "shot_idx")
 
 
 def segment_kernel_mass(frames: DataFrame, shots_per_task: int = 64) -> DataFrame:
     """Kernel mass over length of given segments: all frame pairs inside a segment.
 
-    ``frames`` carries ``shot_idx``, ``feature`` and ``sigma``. Pairs live inside strips of a
-    matrix product and are never emitted as rows.
+    ``frames`` carries ``shot_idx``, ``feature`` and ``sigma``. Pairs live inside tiles of a
+    matrix product and are never emitted as rows; a segment above ``kernel_blocks.ALONE`` rows is many tasks.
     """
+    shots = [*KEYS, "shot_idx"]
+    over = find_oversize(frames, shots, alone_limit(frames.sparkSession))
+    frames, big = over.split(frames, shots)
+    spread = None if big is None else kernel_blocks.mass_by_blocks(big, over)
+    if frames is None:
+        return spread
     cut = frames.withColumn("_part", F.floor(F.col("shot_idx") / shots_per_task).cast("long"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
@@ -273,9 +296,10 @@ def segment_kernel_mass(frames: DataFrame, shots_per_task: int = 64) -> DataFram
             rows.append((*[part[k].iloc[0] for k in KEYS], int(shot), len(x), float(mass / len(x))))
         return pd.DataFrame(rows, columns=[*KEYS, "shot_idx", "length", "mass"])
 
-    return cut.select(*KEYS, "_part", "shot_idx", "feature", "sigma").groupBy(*KEYS, "_part").applyInPandas(
+    out = cut.select(*KEYS, "_part", "shot_idx", "feature", "sigma").groupBy(*KEYS, "_part").applyInPandas(
         one, "dataset string, video_id string, shot_idx long, length long, mass double"
     )
+    return out if spread is None else out.unionByName(spread)
 
 
 # ---- budgeted selection ----------------------------------------------------
