@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import index
 from spanforge.operators import kernel_blocks
+from spanforge.operators.bounded_choice import select_bounded
 from spanforge.operators.kernel_blocks import STRIP, alone_limit, cut_tiles, gap_tiles, mass_of
 from spanforge.operators.ordered import KEYS, Oversize, find_oversize, running_sum, with_position
 from spanforge.session import checkpoint, row_limit
 
 # Distances that may be sorted at once when the middle one is looked for.
 SORTED_GAPS = 1 << 22
-# Items of one group that are packed into a row and folded there; more only after the reduction of large groups.
+# Items of one group that are packed into a row and folded there.
 FOLD_ROWS = 20_000
-REDUCED_ROWS = 2_000_000
 # Value-curve cells kept at once for the exact choice, the longest full curve, and the longest list of undominated choices.
 KEPT_CELLS = 1 << 22
 CURVE_CELLS = 10_000_000
@@ -396,25 +396,19 @@ def select_under_budget(
     """Exact 0/1 selection per group: the chosen (group, item) rows.
 
     ``items`` has integer ``weight``, ``value`` and the group's ``capacity``. In an oversize
-    group at most floor(capacity / w) items of weight w can be taken, and they are the most
-    valuable ones; the rest is dropped before the group is folded, without changing the optimum.
-    A group that is still too large for one task, or whose choices are too many to be
-    kept, stops with an error; it never gets another algorithm.
+    group bounds decide most items by running sums, and what is left is solved in one task: see
+    :func:`spanforge.operators.bounded_choice.select_bounded`. Groups whose undecided items are too many stop
+    with an error; they never get another algorithm. A group with no capacity gets nothing.
     """
     over = over or find_oversize(items, keys, fold_limit(items.sparkSession))
     rest, big = over.split(items, keys)
-    if big is not None:
-        classes = [*keys, "weight"]
-        placed = with_position(big, classes, [F.desc("value"), F.col(item)], "_r")
-        useful = placed.filter((F.col("_r") + 1) * F.col("weight") <= F.col("capacity")).drop("_r")
-        useful = checkpoint(useful.select(*keys, item, "weight", "value", "capacity"))
-        largest = useful.groupBy(*keys).count().filter(F.col("count") > REDUCED_ROWS).first()
-        if largest is not None:
-            raise ValueError(f"{largest['count']} useful items in group {[largest[k] for k in keys]}: too many to choose exactly")
-        rest = useful if rest is None else rest.select(*useful.columns).unionByName(useful)
+    spread = None if big is None else select_bounded(big, keys, item, over)
+    if rest is None:
+        return spread
     rows = _in_one_row(rest.select(*keys, item, "weight", "value", "capacity"), keys, item)
     chosen = exact_ids(f"_items.{item}", "_items.weight", "_items.value", "capacity")
-    return rows.select(*keys, F.explode(chosen).alias(item))
+    out = rows.select(*keys, F.explode(chosen).alias(item))
+    return out if spread is None else out.unionByName(spread)
 
 
 def _efficiency(value: Column, weight: Column) -> Column:
