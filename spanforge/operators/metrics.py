@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -215,73 +217,150 @@ def plain_tokens(c: Column) -> Column:
     return text.words(F.lower(c))
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    return F.when(
-        F.size(tokens) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")
-        ),
-    )
+# Tokens of both sides whose grams are counted at once; one longer pair is counted alone.
+TOKENS = 2_000_000
+
+
+def _token_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose last two columns hold a bounded number of tokens."""
+    sizes = sum(np.nan_to_num(batch.column(i).value_lengths().to_numpy(zero_copy_only=False).astype(float)) for i in (-2, -1))
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + TOKENS, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _codes(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row, number of the token) of all tokens of each side; equal tokens have equal numbers."""
+    sides = [batch.column(-2), batch.column(-1)]
+    flat = pa.concat_arrays([s.flatten() for s in sides])
+    codes = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = [pc.list_parent_indices(s).to_numpy(zero_copy_only=False).astype(np.int64) for s in sides]
+    return [(rows[0], codes[: len(rows[0])]), (rows[1], codes[len(rows[0]) :])]
+
+
+def count_overlaps(batch: pa.RecordBatch, orders: Sequence[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order the clipped overlap and the numbers of grams of both sides, row by row.
+
+    A gram of order n is a pair of a gram of order n - 1 and a token, numbered anew; grams of a row are counted as sorted
+    numbers, and equal numbers of both sides meet by binary search.
+    """
+    n_rows, sides = batch.num_rows, _codes(batch)
+    grams = [(rows, codes) for rows, codes in sides]
+    out = {}
+    for n in range(1, max(orders) + 1):
+        if n > 1:
+            width = 1 + max((int(codes.max()) for _, codes in sides if len(codes)), default=0)
+            # The token that follows stands n - 1 places on, in the same row.
+            made = []
+            for (rows, codes), (own, ids) in zip(sides, grams, strict=True):
+                same = rows[n - 1 :] == own[: len(rows) - n + 1] if len(rows) >= n else np.zeros(0, bool)
+                pairs = np.full(len(rows), -1, np.int64)
+                at = np.flatnonzero(same)
+                at = at[ids[at] >= 0]
+                pairs[at] = ids[at] * width + codes[at + n - 1]
+                made.append(pairs)
+            both = np.concatenate(made)
+            kinds, numbers = np.unique(both, return_inverse=True)
+            if len(kinds) and kinds[0] == -1:
+                numbers = numbers - 1
+            grams = [(sides[0][0], numbers[: len(made[0])]), (sides[1][0], numbers[len(made[0]) :])]
+        if n not in orders:
+            continue
+        span = 1 + max((int(ids.max()) for _, ids in grams if len(ids)), default=0)
+        counted = []
+        for rows, ids in grams:
+            fine = ids >= 0
+            keys, counts = np.unique(rows[fine] * max(1, span) + ids[fine], return_counts=True)
+            counted.append((keys, counts, np.bincount(rows[fine], minlength=n_rows)))
+        (keys, counts, n_cand), (others, their, n_ref) = counted
+        at = np.searchsorted(others, keys)
+        hit = np.flatnonzero(at < len(others))
+        hit = hit[others[at[hit]] == keys[hit]]
+        shared = np.minimum(counts[hit], their[at[hit]])
+        overlap = np.bincount(keys[hit] // max(1, span), weights=shared, minlength=n_rows).astype(np.int64)
+        out[n] = (overlap, n_cand, n_ref)
+    return out
+
+
+def _with_tokens(pairs: DataFrame, keys: Sequence[str], tokens) -> DataFrame:
+    return pairs.select(*keys, *[tokens(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("candidate", "reference")])
 
 
 def gram_overlap(pairs: DataFrame, keys: Sequence[str], orders: Sequence[int], tokens=overlap_tokens) -> DataFrame:
-    """Clipped n-gram overlap of ``candidate`` and ``reference`` per unit and order n.
+    """keys, overlaps: for every row of ``candidate`` and ``reference`` the clipped n-gram overlap of each order, as an array.
 
-    Grams are counted per (unit, n, gram) with map-side combine; a long text spreads by gram.
+    Nothing is shuffled: both texts lie in one row, and Arrow batches of rows are counted at once.
     """
     keys = list(keys)
-    sides = []
-    for column, flag in (("candidate", 1), ("reference", 0)):
-        t = pairs.select(*keys, tokens(F.col(column)).alias("_t"))
-        per_n = F.array(*[F.struct(F.lit(n).alias("n"), _grams(F.col("_t"), n).alias("g")) for n in orders])
-        flat = t.select(*keys, F.explode(per_n).alias("_x")).select(*keys, "_x.n", F.explode("_x.g").alias("gram"))
-        sides.append(flat.withColumn("_c", F.lit(flag)))
-    counts = sides[0].unionByName(sides[1]).groupBy(*keys, "n", "gram").agg(
-        F.sum("_c").alias("c"), F.sum(1 - F.col("_c")).alias("r")
-    )
-    return counts.groupBy(*keys, "n").agg(
-        F.sum(F.least("c", "r")).alias("overlap"), F.sum("c").alias("n_cand"), F.sum("r").alias("n_ref")
-    )
+    split = _with_tokens(pairs, keys, tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _token_slices(whole):
+                found = count_overlaps(batch, orders)
+                fields = [pa.array(np.repeat([list(orders)], batch.num_rows, axis=0).reshape(-1), pa.int32())]
+                fields += [pa.array(np.stack([found[n][i] for n in orders], axis=1).reshape(-1).astype(np.int64)) for i in range(3)]
+                rows = pa.StructArray.from_arrays(fields, names=["n", "overlap", "n_cand", "n_ref"])
+                offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(orders))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.ListArray.from_arrays(offsets, rows)], names=[*keys, "overlaps"])
+
+    kinds = ", ".join(f"`{k}` {split.schema[k].dataType.simpleString()}" for k in keys)
+    return split.mapInArrow(run, f"{kinds}, overlaps array<struct<n: int, overlap: long, n_cand: long, n_ref: long>>")
 
 
 def rouge_n(pairs: DataFrame, keys: Sequence[str], orders: Sequence[int] = (1, 2)) -> DataFrame:
     """n-gram precision, recall and F1; units without any gram of an order get zeros."""
-    found = gram_overlap(pairs, keys, orders)
-    units = pairs.select(*keys, F.explode(F.array(*[F.lit(n) for n in orders])).alias("n"))
-    d = units.join(found, [*keys, "n"], "left")
+    d = gram_overlap(pairs, keys, orders).select(*keys, F.explode("overlaps").alias("_x")).select(*keys, "_x.*")
     d = d.withColumns({"precision": ratio("overlap", "n_cand"), "recall": ratio("overlap", "n_ref")})
     f1 = ratio(F.col("precision") * F.col("recall") * 2, F.col("precision") + F.col("recall"))
     return d.select(*keys, "n", "precision", "recall", f1.alias("f1"))
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """Longest common subsequence with one bit per token of ``a``."""
-    places: dict[str, int] = {}
+def lcs_length(a: Sequence, b: Sequence) -> int:
+    """Longest common subsequence with one bit per token of the shorter text; tokens that it lacks cost nothing."""
+    if len(a) > len(b):
+        a, b = b, a
+    places: dict = {}
     for i, token in enumerate(a):
         places[token] = places.get(token, 0) | (1 << i)
     full = (1 << len(a)) - 1
     row = full
     for token in b:
-        hit = row & places.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - bin(row).count("1")
+        mask = places.get(token)
+        if mask is not None:
+            hit = row & mask
+            row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
 def rouge_l(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Longest-common-subsequence precision, recall and F1 over whole texts."""
+    """Longest-common-subsequence precision, recall and F1 over whole texts.
 
-    def lengths(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for cand, ref in batches:
-            yield pd.Series([lcs_length(list(c), list(r)) for c, r in zip(cand, ref, strict=True)], dtype="int64")
-
-    common = F.pandas_udf(lengths, "bigint")
-    d = pairs.select(
-        *keys,
-        overlap_tokens(F.coalesce("candidate", F.lit(""))).alias("_c"),
-        overlap_tokens(F.coalesce("reference", F.lit(""))).alias("_r"),
-    )
-    d = d.withColumn("lcs", common("_c", "_r"))
-    d = d.withColumns({"precision": ratio(F.col("lcs"), F.size("_c")), "recall": ratio(F.col("lcs"), F.size("_r"))})
+    Tokens travel as Arrow lists and become numbers a batch at a time; only tokens that both texts of a row hold are walked through.
+    """
+    keys = list(keys)
+    split = _with_tokens(pairs, keys, overlap_tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _token_slices(whole):
+                (c_rows, c), (r_rows, r) = _codes(batch)
+                # Tokens of a row that the other side of the row lacks are in no common subsequence.
+                span = 1 + max(int(c.max(initial=0)), int(r.max(initial=0)))
+                c_key, r_key = c_rows * span + c, r_rows * span + r
+                c_fine, r_fine = np.isin(c_key, r_key), np.isin(r_key, c_key)
+                cuts = [np.searchsorted(rows[fine], np.arange(batch.num_rows + 1)).tolist() for rows, fine in ((c_rows, c_fine), (r_rows, r_fine))]
+                own, other = c[c_fine].tolist(), r[r_fine].tolist()
+                lcs = [lcs_length(own[cuts[0][i] : cuts[0][i + 1]], other[cuts[1][i] : cuts[1][i + 1]]) for i in range(batch.num_rows)]
+                sizes = [pa.array(np.bincount(rows, minlength=batch.num_rows).astype(np.int64)) for rows in (c_rows, r_rows)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(lcs, pa.int64()), *sizes], names=[*keys, "lcs", "_c", "_r"])
+
+    kinds = ", ".join(f"`{k}` {split.schema[k].dataType.simpleString()}" for k in keys)
+    d = split.mapInArrow(run, f"{kinds}, lcs long, _c long, _r long")
+    d = d.withColumns({"precision": ratio("lcs", "_c"), "recall": ratio("lcs", "_r")})
     f1 = ratio(F.col("precision") * F.col("recall") * 2, F.col("precision") + F.col("recall"))
     return d.select(*keys, "lcs", "precision", "recall", f1.alias("f1"))
 
@@ -291,20 +370,18 @@ def bleu4(pairs: DataFrame, keys: Sequence[str], epsilon: float = 0.0) -> DataFr
 
     Without any common gram of an order the score is 0; ``epsilon`` replaces zero counts instead.
     """
-    keys = list(keys)
-    g = gram_overlap(pairs, keys, (1, 2, 3, 4), plain_tokens)
-    hit = F.when(F.col("overlap") > 0, F.col("overlap").cast("double")).otherwise(F.lit(float(epsilon)))
-    log_p = F.when((hit > 0) & (F.col("n_cand") > 0), F.ln(hit / F.col("n_cand")))
-    d = g.filter(F.col("n_cand") > 0).groupBy(*keys).agg(
-        F.sum(log_p).alias("_l"),
-        F.count(log_p).alias("_k"),
-        F.max(F.when(F.col("n") == 1, F.col("n_cand"))).alias("_c"),
-        F.max(F.when(F.col("n") == 1, F.col("n_ref"))).alias("_r"),
-    )
-    penalty = F.when(F.col("_c") > F.col("_r"), 1.0).otherwise(F.exp(1.0 - F.col("_r") / F.col("_c")))
-    score = F.when(F.col("_k") == 4, penalty * F.exp(F.col("_l") / 4)).otherwise(0.0)
-    scored = d.select(*keys, score.alias("bleu4"))
-    return pairs.select(*keys).join(scored, keys, "left").withColumn("bleu4", F.coalesce("bleu4", F.lit(0.0)))
+    d = gram_overlap(pairs, keys, (1, 2, 3, 4), plain_tokens)
+
+    def log_p(x: Column) -> Column:
+        hit = F.when(x["overlap"] > 0, x["overlap"].cast("double")).otherwise(F.lit(float(epsilon)))
+        return F.when((hit > 0) & (x["n_cand"] > 0), F.ln(hit / x["n_cand"]))
+
+    logs = F.transform("overlaps", log_p)
+    first = F.col("overlaps")[0]
+    penalty = F.when(first["n_cand"] > first["n_ref"], 1.0).otherwise(F.exp(1.0 - first["n_ref"] / first["n_cand"]))
+    total = F.aggregate("_l", F.lit(0.0), lambda a, x: a + x)
+    score = F.when((F.size("_l") == 4) & F.forall("_l", lambda x: x.isNotNull()), penalty * F.exp(total / 4)).otherwise(0.0)
+    return d.withColumn("_l", logs).select(*keys, F.coalesce(score, F.lit(0.0)).alias("bleu4"))
 
 
 # ---- vectors ---------------------------------------------------------------

@@ -308,7 +308,7 @@ def grams_sql(key: str, pairs: str, token: str, orders: str) -> str:
     return f"""
 pairs AS ({pairs}),
 tok AS (SELECT {key}, 1 AS c, regexp_extract_all(lower(candidate), '{token}') AS t FROM pairs UNION ALL SELECT {key}, 0, regexp_extract_all(lower(reference), '{token}') FROM pairs),
-grams AS (SELECT {key}, c, n, array_to_string(t[i:i + n - 1], ' ') AS g FROM (SELECT {key}, c, n, t, unnest(range(1, len(t) - n + 2)) AS i FROM tok, (SELECT unnest({orders}) AS n))),
+grams AS (SELECT {key}, c, n, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) AS g FROM tok, (SELECT unnest({orders}) AS n)),
 cnt AS (SELECT {key}, n, g, sum(c) AS c, sum(1 - c) AS r FROM grams GROUP BY ALL),
 ov AS (SELECT {key}, n, sum(least(c, r)) AS o, sum(c) AS nc, sum(r) AS nr FROM cnt GROUP BY ALL)
 """
@@ -358,7 +358,23 @@ def rouge_l_turns(spark, sf):
     return rounded(mt.rouge_l(turn_pairs(spark, sf), ["conv_id", "turn"]))
 
 
-@query("rouge_l")
+@query(
+    "rouge_l",
+    with_ctes(
+        f"""pairs AS (SELECT doc_id, candidate, item_id FROM (SELECT doc_id, d.text AS candidate, b.item_id {DOC_PAIRS[DOC_PAIRS.index("FROM"):]}))""",
+        """ref AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS r FROM benchmark)""",
+        """posted AS (SELECT item_id, w, list(p ORDER BY p DESC) AS ps FROM (SELECT item_id, unnest(r) AS w, unnest(range(1, len(r) + 1)) AS p FROM ref) GROUP BY item_id, w)""",
+        """split AS (SELECT doc_id, item_id, regexp_extract_all(lower(candidate), '[a-z0-9]+') AS c FROM pairs)""",
+        """said AS (SELECT doc_id, item_id, unnest(c) AS w, unnest(range(1, len(c) + 1)) AS i FROM split)""",
+        """met AS (SELECT doc_id, list(p ORDER BY i, p DESC) AS ps FROM (SELECT doc_id, i, unnest(ps) AS p FROM said JOIN posted USING (item_id, w)) GROUP BY doc_id)""",
+        # Places of common words, walked through with the least last place of each length.
+        """walked AS (SELECT doc_id, len(list_reduce(list_transform(ps, lambda p: [p]),
+            lambda t, x: t[1:len(list_filter(t, lambda y: y < x[1]))] || x || t[len(list_filter(t, lambda y: y < x[1])) + 2:])) AS lcs FROM met)""",
+        """ended AS (SELECT doc_id, coalesce(lcs, 0) AS lcs, len(c) AS nc, len(r) AS nr FROM split JOIN ref USING (item_id) LEFT JOIN walked USING (doc_id))""",
+        """pr AS (SELECT *, CASE WHEN nc > 0 THEN lcs / nc ELSE 0 END AS p, CASE WHEN nr > 0 THEN lcs / nr ELSE 0 END AS r FROM ended)""",
+        body=f"""SELECT doc_id, CAST(lcs AS BIGINT) AS lcs, {R6("p")} AS "precision", {R6("r")} AS recall, {R6(F1)} AS f1 FROM pr""",
+    ),
+)
 def rouge_l(spark, sf):
     return rounded(mt.rouge_l(doc_pairs(spark, sf), ["doc_id"]))
 
