@@ -38,11 +38,20 @@ def seen_once(spark, sf):
 
 @query(
     "flush_every_n",
-    f"SELECT event_type, count(*) AS n, {R6('sum(value)')} AS total FROM events GROUP BY event_type",
+    f"""SELECT i AS flush, CAST(least(700, n - 700 * i) AS BIGINT) AS n, total FROM (SELECT count(*) AS n, {R6("sum(value)")} AS total FROM events),
+    LATERAL (SELECT unnest(range(0, CAST(ceil(n / 700.0) AS BIGINT))) AS i)""",
 )
 def flush_every_n(spark, sf):
+    """Events in files of a day each; half of them arrive, the query stops, and goes on where it was when the others are there."""
     out, state = arrivals.scratch(spark, "flush")
-    derive = lambda b: b.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    arrivals.flush_every_n(event_files(spark, sf, files_per_batch=100), derive, out, state)
+    folder = arrivals.scratch(spark, "days")[0]
+    events = views.table(spark, sf, "events").select("event_id", "event_type", "value", F.to_date("ts").alias("day"))
+    middle = F.lit(events.agg(F.percentile_approx(F.unix_date("day"), 0.5)).first()[0])
+    derive = lambda b: b.groupBy("flush", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    for part, close in ((F.unix_date("day") <= middle, False), (F.unix_date("day") > middle, True)):
+        events.filter(part).repartition(4, "day").write.mode("append").parquet(folder)
+        stream = arrivals.arriving_files(spark, folder, events.schema, glob="*.parquet", files_per_batch=3)
+        arrivals.flush_every_n(stream, 700, derive, out, state, ["event_id"], close)
     written = spark.read.parquet(out)
-    return written.groupBy("event_type").agg(F.sum("n").alias("n"), r6(F.sum("total")).alias("total"))
+    sizes = written.groupBy("flush").agg(F.sum("n").alias("n"))
+    return sizes.join(written.agg(r6(F.sum("total")).alias("total"))).select(F.col("flush").cast("long").alias("flush"), "n", "total")
