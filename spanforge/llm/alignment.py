@@ -7,6 +7,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -20,15 +21,15 @@ from spanforge.llm.shared import text_or_empty
 from spanforge.session import fresh_dir
 
 # Characters aligned at a time; one longer text is a portion of its own.
-PORTION = 2_000_000
+PORTION = 1_000_000
 # A part, the unit that asks for counts, ends after so many characters or id pairs.
 PART_CHARS = 16_000_000
 PART_PAIRS = 1_000_000
 # Occurrences of a table of pairs at a time.
-PAIRS = 4_000_000
+PAIRS = 2_000_000
 # Pairs of a group beyond which its equal ids are counted first.
 SMALL = 256
-# Ids of the second tokenizer are below this; a pair is one number.
+# Ids of the second tokenizer are below this; a pair is one number of 32 bits, sent as a signed one.
 SECOND = 1 << 16
 SEGMENT = re.compile(" +[^ ]*")
 
@@ -40,7 +41,7 @@ class PieceEncoder:
     parts may be encoded apart. Texts of other models are encoded whole.
     """
 
-    def __init__(self, path: str, cache: int = 300_000) -> None:
+    def __init__(self, path: str, cache: int = 150_000) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -104,7 +105,7 @@ class Aligner:
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
-        self.a_encoder, self.b_encoder = ChunkEncoder(first, cache=300_000), PieceEncoder(second)
+        self.a_encoder, self.b_encoder = ChunkEncoder(first, cache=150_000), PieceEncoder(second)
         self.a_table, self.b_table = TokenTable(tokens), TokenTable(self.b_encoder.token_bytes())
 
     def _tokens(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
@@ -159,6 +160,12 @@ class Aligner:
         return [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts.to_pylist()]
 
 
+@lru_cache(maxsize=1)
+def shared_aligner(first: str, second: str) -> Aligner:
+    """One per Python worker, so that short tasks do not load the files again; its caches are bounded."""
+    return Aligner(first, second)
+
+
 def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     offsets = np.append(0, np.cumsum([len(i) for i in ids])).astype(np.int32)
     return pa.ListArray.from_arrays(offsets, np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32))
@@ -248,7 +255,7 @@ def _align_tasks(docs: DataFrame, first: str, second: str, key: str, text: str)
         base = TaskContext.get().partitionId() << 32
 
         def close() -> pa.RecordBatch:
-            total = _sum(pa.concat_tables(partial), ["pair"], "n")
+            total = _sum(pa.concat_tables(partial), ["pair"], "n").sort_by("pair")
             return _batch(pa.nulls(1, key_type), base + number, None, [total["pair"].combine_chunks()], [total["n"].combine_chunks()], 1)
 
         key_type = None
@@ -262,7 +269,7 @@ def _align_tasks(docs: DataFrame, first: str, second: str, key: str, text: str)
                     size += lengths[stop]
                     stop += 1
                 part = batch.slice(start, stop - start)
-                aligner = aligner or Aligner(first, second)
+                aligner = aligner or shared_aligner(first, second)
                 measures, pairs = aligner.align(part.column(0).to_pylist())
                 pairs = pairs.sort_by([("doc", "ascending"), ("pair", "ascending")])
                 cuts = np.searchsorted(pairs["doc"].to_numpy(), np.arange(part.num_rows + 1))
@@ -278,21 +285,23 @@ def _align_tasks(docs: DataFrame, first: str, second: str, key: str, text: str)
                 start = stop
         if partial:
             yield close()
+        pa.default_memory_pool().release_unused()
 
     def _batch(keys, part: int, measures, pairs: list, values: list, n: int) -> pa.RecordBatch:
         columns = [keys, pa.array([part] * n, pa.int64()), pa.array([measures is not None] * n)]
         for name, ddl in MEASURES.items():
             empty = pa.nulls(n, pa.int64() if ddl == "long" else pa.string())
             columns.append(empty if measures is None else measures[name].combine_chunks())
-        for lists, of in ((pairs, pa.int64()), (values, pa.int64())):
+        for lists in (pairs, values):
             offsets = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
-            columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays([*[x.cast(of) for x in lists], pa.array([], of)])))
+            flat = np.concatenate([*[x.to_numpy() for x in lists], np.empty(0, np.int64)])
+            columns.append(pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.uint32).view(np.int32))))
         return pa.RecordBatch.from_arrays(columns, names=[key, "_part", "_is_doc", *MEASURES, "_pairs", "_values"])
 
     value = text_or_empty(text)
     narrow = docs.select(value.alias("_text"), F.char_length(value).alias("_length"), key)
     measured = ", ".join(f"{n} {d}" for n, d in MEASURES.items())
-    schema = f"`{key}` {kind.simpleString()}, _part long, _is_doc boolean, {measured}, _pairs array<long>, _values array<long>"
+    schema = f"`{key}` {kind.simpleString()}, _part long, _is_doc boolean, {measured}, _pairs array<int>, _values array<int>"
     return narrow.mapInArrow(run, schema)
 
 
@@ -318,8 +327,8 @@ def align_texts(docs: DataFrame, first: str, second: str, key: str = "doc_id", t
     named = named.select("_part", F.col("p._pairs").alias("pair"), F.col("p._values").alias("n"))
     totals = named.groupBy("pair").agg(F.sum("n").alias("total"))
     # One row for each id of the first tokenizer, whose number its vocabulary bounds.
-    best = totals.groupBy(F.shiftright("pair", 16).alias("a")).agg(F.max("total").alias("most"))
-    ranked = totals.join(F.broadcast(best), F.shiftright("pair", 16) == F.col("a"))
+    best = totals.groupBy(F.shiftrightunsigned("pair", 16).alias("a")).agg(F.max("total").alias("most"))
+    ranked = totals.join(F.broadcast(best), F.shiftrightunsigned("pair", 16) == F.col("a"))
     ranked = ranked.select("pair", "total", (F.col("total") == F.col("most")).alias("best"))
     asked = named.select("_part", "pair").join(ranked, "pair").select("_part", "pair", "total", "best")
     measured = rows.filter("_is_doc").select(F.col("_part").alias("_own"), key, *MEASURES, "_pairs", "_values")
