@@ -21,6 +21,8 @@ from spanforge.session import checkpoint
 MIN_EXPECTED = 5.0
 LOG_GUARD = 1e-12
 KNOWN_CATEGORIES = 200
+# Fixed value: values of a side up to which the p-value of the two-sample test is exact.
+EXACT_UP_TO = 10_000
 
 
 def value_counts(df: DataFrame, value: str, in_subset: str = "in_subset") -> DataFrame:
@@ -51,13 +53,50 @@ def kolmogorov_tail(x: Column, terms: int = 100) -> Column:
     return F.when(x < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * total)))
 
 
-def ks_two_sample(df: DataFrame, value: str) -> DataFrame:
-    """Largest distance of the two distribution functions, with the asymptotic p-value."""
+def path_tail(statistic: float, n: int, m: int) -> float:
+    """P(D >= statistic) of two samples without a difference, exactly: the share of lattice paths that leave the band.
+
+    A path to (i, j) is a mixed order of i values of one side and j of the other, all equally likely; its last step came from
+    (i - 1, j) with probability i / (i + j). Points on which the distribution functions differ by the statistic or more are left with
+    certainty, so one pass over the anti-diagonals adds up positive shares only; two of them are kept.
+    """
+    least = round(statistic * n * m)
+    i = np.arange(n + 1)
+    left = np.zeros(n + 1)
+    left[0] = 1.0 if least <= 0 else 0.0
+    for s in range(1, n + m + 1):
+        low, high = max(0, s - m), min(s, n)
+        own = i[low : high + 1]
+        stay = left[low : high + 1] * (s - own)
+        step = np.zeros(len(own))
+        step[own > 0] = left[own[own > 0] - 1] * own[own > 0]
+        now = (stay + step) / s
+        now[np.abs(own * m - (s - own) * n) >= least] = 1.0
+        left[low : high + 1] = now
+    return float(left[n])
+
+
+def exact_tail(statistic: Column, n: Column, m: Column) -> Column:
+    def tails(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if pd.isna(d) or not a or not b else path_tail(d, int(a), int(b)) for d, a, b in zip(*batch, strict=True)], dtype="float64")
+
+    return F.pandas_udf(tails, "double")(statistic, n, m)
+
+
+def ks_two_sample(df: DataFrame, value: str, exact_up_to: int = EXACT_UP_TO) -> DataFrame:
+    """Largest distance of the two distribution functions, with its p-value.
+
+    The p-value is exact while both sides have at most ``exact_up_to`` values, and asymptotic beyond.
+    """
     found = _curves(df, value)[0].agg(
         F.max("gap").alias("statistic"), F.max("_nf").alias("n_full"), F.max("_ns").alias("n_sub")
     )
     size = F.col("n_full").cast("double") * F.col("n_sub") / (F.col("n_full") + F.col("n_sub"))
-    return found.withColumn("p_value", kolmogorov_tail(F.sqrt(size) * F.col("statistic")))
+    small = F.greatest("n_full", "n_sub") <= exact_up_to
+    some = lambda c: F.when(small, F.col(c))
+    exact = exact_tail(some("statistic"), some("n_full"), some("n_sub"))
+    return found.withColumn("p_value", F.when(small, exact).otherwise(kolmogorov_tail(F.sqrt(size) * F.col("statistic"))))
 
 
 def wasserstein_1d(df: DataFrame, value: str) -> DataFrame:

@@ -40,7 +40,36 @@ def prices(spark, sf):
     ),
 )
 def ks_two_sample(spark, sf):
-    return rounded(dist.ks_two_sample(prices(spark, sf), "v"))
+    return rounded(dist.ks_two_sample(prices(spark, sf), "v", exact_up_to=0))
+
+
+LENGTHS = """
+rows AS (SELECT CAST(n_chars AS DOUBLE) AS v, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 ELSE 0 END AS in_subset FROM documents)
+"""
+
+
+@query(
+    "ks_two_sample_exact",
+    with_ctes(
+        LENGTHS,
+        CURVES,
+        """stat AS (SELECT max(abs(cf - cs)) AS d, any_value(nf) AS nf, any_value(ns) AS ns FROM cum, size)""",
+        # Shares of paths that have left the band, one anti-diagonal after another.
+        """walk AS (
+          SELECT d, nf, ns, round(d * nf * ns) AS h, 0 AS s, list_transform(range(0, nf + 1), lambda i: 0.0::DOUBLE) AS row FROM stat
+          UNION ALL
+          SELECT d, nf, ns, h, s + 1, list_transform(range(0, nf + 1), lambda i: CASE WHEN i > s + 1 OR s + 1 - i > ns THEN 0.0::DOUBLE
+            WHEN abs(i * ns - (s + 1 - i) * nf) >= h THEN 1.0::DOUBLE
+            ELSE ((s + 1 - i) * row[i + 1] + i * coalesce(row[i], 0)) / (s + 1) END) FROM walk WHERE s < nf + ns)""",
+        body=f"""SELECT {R6("d")} AS statistic, nf AS n_full, ns AS n_sub, {R6("row[nf + 1]")} AS p_value FROM walk WHERE s = nf + ns""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def ks_two_sample_exact(spark, sf):
+    """Lengths of the labelled documents against those of all."""
+    labelled = views.table(spark, sf, "labels").select("doc_id").distinct().withColumn("in_subset", F.lit(1))
+    docs = views.table(spark, sf, "documents").join(labelled, "doc_id", "left")
+    lengths = docs.select(F.col("n_chars").cast("double").alias("v"), F.coalesce("in_subset", F.lit(0)).alias("in_subset"))
+    return rounded(dist.ks_two_sample(lengths, "v"))
 
 
 @query(

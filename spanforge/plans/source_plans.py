@@ -12,6 +12,7 @@ from spanforge.plans.text_plans import joined, trimmed
 from spanforge.session import fresh_dir
 from spanforge.sources import json_maps
 from spanforge.sources import records as rec
+from spanforge.sources import stores
 from spanforge.sources import views
 from spanforge.sources.views import FRAMES, SEGMENTS, SENTENCES, SHOT_FRAMES
 
@@ -338,6 +339,33 @@ def deleted(spark, sf):
     return rec.delete_by_id(views.table(spark, sf, "orders"), failed, ["o_orderkey"])
 
 
+HEAVY = "SELECT l_orderkey FROM lineitem WHERE l_quantity > 48"
+
+
+@query(
+    "delete_stored",
+    f"""SELECT o_orderkey, (SELECT count(*) FROM orders WHERE o_orderkey IN ({HEAVY})) AS removed, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN ({HEAVY})) AS kept
+    FROM orders WHERE o_orderkey NOT IN ({HEAVY})""",
+)
+def delete_stored(spark, sf):
+    """A stored table without the failed rows, read again, with the counts of the rewrite."""
+    path = fresh_dir(spark, "store")
+    stores.create_store(views.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), path, ["o_orderkey"], buckets=8)
+    failed = views.table(spark, sf, "lineitem").filter("l_quantity > 48").select(F.col("l_orderkey").alias("o_orderkey"))
+    done = stores.delete_stored(spark, path, failed, ["o_orderkey"])
+    counts = {"removed": F.lit(done.changed).cast("long"), "kept": F.lit(done.rows).cast("long")}
+    return stores.read_store(spark, path).select("o_orderkey").withColumns(counts)
+
+
+@query("upsert_stored", with_ctes(STORE, body="SELECT c_custkey, coalesce(old, new) AS n FROM store LEFT JOIN fresh USING (c_custkey)"))
+def upsert_stored(spark, sf):
+    path = fresh_dir(spark, "store")
+    held, fresh = store(spark, sf)
+    stores.create_store(held, path, ["c_custkey"], buckets=8)
+    stores.upsert_stored(spark, path, fresh, ["n"], ["c_custkey"])
+    return stores.read_store(spark, path).select("c_custkey", "n")
+
+
 DONE = """
 captioned AS (SELECT video_id FROM frames GROUP BY video_id HAVING bool_and(gtscore >= 0.5)),
 checkpointed AS (SELECT DISTINCT video_id FROM frames WHERE video_id LIKE '%5'),

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -145,3 +146,25 @@ def test_flush_writes_one_folder_per_batch(spark, tmp_path):
     arrivals.flush_every_n(files, lambda b: b.agg(F.count(F.lit(1)).alias("n")), out, state)
     got = spark.read.parquet(out)
     assert got.agg(F.sum("n")).first()[0] == 40 and got.select("flush").distinct().count() == 4
+
+
+@pytest.mark.parametrize("n,m", [(1, 1), (3, 4), (5, 5), (2, 7), (7, 6)])
+def test_exact_tail_counts_all_orders(n, m):
+    for least in range(n * m + 1):
+        out = 0
+        for chosen in itertools.combinations(range(n + m), n):
+            i = np.cumsum(np.isin(np.arange(n + m), chosen))
+            j = np.arange(1, n + m + 1) - i
+            out += least <= 0 or bool((np.abs(i * m - j * n) >= least).any())
+        assert dist.path_tail(least / (n * m), n, m) == pytest.approx(out / math.comb(n + m, n), abs=1e-13)
+
+
+def test_the_p_value_is_exact_for_small_sides_only(spark):
+    df = spark.createDataFrame([(float(i), int(i % 3 == 0)) for i in range(90)], "v double, in_subset int")
+    exact, asymptotic = dist.ks_two_sample(df, "v").first(), dist.ks_two_sample(df, "v", exact_up_to=89).first()
+    assert exact.p_value == pytest.approx(dist.path_tail(exact.statistic, 90, 30))
+    x = exact.statistic * math.sqrt(90 * 30 / 120)
+    tail = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 100)) if x >= 0.2 else 1.0
+    assert asymptotic.p_value == pytest.approx(tail)
+    none = dist.ks_two_sample(df.withColumn("in_subset", F.lit(0)), "v").first()
+    assert none.p_value is None
