@@ -391,9 +391,9 @@ def _in_one_row(items: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
 
 
 def select_under_budget(
-    items: DataFrame, keys: Sequence[str] = KEYS, item: str = "shot_idx", over: Oversize | None = None
+    items: DataFrame, keys: Sequence[str] = KEYS, item: str = "shot_idx", over: Oversize | None = None, values: bool = False
 ) -> DataFrame:
-    """Exact 0/1 selection per group: the chosen (group, item) rows.
+    """Exact 0/1 selection per group: the chosen (group, item) rows, with their ``weight`` and ``value`` if ``values``.
 
     ``items`` has integer ``weight``, ``value`` and the group's ``capacity``. In an oversize
     group bounds decide most items by running sums, and what is left is solved in one task: see
@@ -403,11 +403,17 @@ def select_under_budget(
     over = over or find_oversize(items, keys, fold_limit(items.sparkSession))
     rest, big = over.split(items, keys)
     spread = None if big is None else select_bounded(big, keys, item, over)
+    if spread is not None and values:
+        spread = big.select(*keys, item, "weight", "value").join(spread, [*keys, item])
     if rest is None:
         return spread
     rows = _in_one_row(rest.select(*keys, item, "weight", "value", "capacity"), keys, item)
     chosen = exact_ids(f"_items.{item}", "_items.weight", "_items.value", "capacity")
-    out = rows.select(*keys, F.explode(chosen).alias(item))
+    if values:
+        held = F.filter("_items", lambda x: F.array_contains("_chosen", x[item]))
+        out = rows.withColumn("_chosen", chosen).select(*keys, F.explode(held).alias("_x")).select(*keys, "_x.*")
+    else:
+        out = rows.select(*keys, F.explode(chosen).alias(item))
     return out if spread is None else out.unionByName(spread)
 
 

@@ -62,17 +62,23 @@ def positional_join(
 def interval_hits(segments: DataFrame, points: DataFrame, at: str, width: int = 64) -> DataFrame:
     """(group, shot_idx) with every point for which ``start <= at <= end``.
 
-    The equality is on (group, bucket of ``width``), so a single group spreads over many
-    tasks and never meets all its points at once. A width near the mean length of a segment keeps both the buckets
-    of a segment and the points of a bucket few.
+    The equality is on (group, level, bucket), so a single group spreads over many tasks and never meets all its points at
+    once. Buckets of level 0 have ``width`` numbers, those of each further level eight times as many; a segment takes the
+    level at which it touches at most five buckets, however long it is. Points have a row for each level that some segment
+    takes, normally one. A width near the mean length of a segment keeps the points of a bucket few.
     """
-    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
-    spread = segments.withColumn(
+    length = F.greatest(F.col("end") - F.col("start"), F.lit(0)) + 1
+    level = F.greatest(F.ceil(F.log2(length / F.lit(4.0 * width)) / 3), F.lit(0)).cast("int")
+    bucket = lambda c: F.floor(F.col(c) / (F.lit(width) * F.pow(F.lit(8.0), F.col("_level")))).cast("long")
+    levelled = segments.select(*KEYS, "shot_idx", "start", "end").withColumn("_level", level)
+    levels = levelled.agg(F.collect_set("_level")).scalar()
+    spread = levelled.withColumn(
         "_b", F.explode(F.when(F.col("end") >= F.col("start"), F.sequence(bucket("start"), bucket("end"))).otherwise(F.array(bucket("start"))))
     )
-    return spread.select(*KEYS, "shot_idx", "start", "end", "_b").join(
-        points.withColumn("_b", bucket(at)), [*KEYS, "_b"]
-    ).filter((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end"))).drop("_b", "start", "end")
+    placed = points.withColumn("_level", F.explode(levels)).withColumn("_b", bucket(at))
+    return spread.join(placed, [*KEYS, "_level", "_b"]).filter((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end"))).drop(
+        "_level", "_b", "start", "end"
+    )
 
 
 def interval_join(segments: DataFrame, points: DataFrame, at: str, width: int = 64) -> DataFrame:

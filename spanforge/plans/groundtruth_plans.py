@@ -128,8 +128,7 @@ def line_items(spark, sf):
 )
 def select_under_budget(spark, sf):
     items, over = line_items(spark, sf)
-    chosen = gt.select_under_budget(items, over=over)
-    return items.join(chosen, [*KEYS, "shot_idx"]).select("video_id", "shot_idx", "value")
+    return gt.select_under_budget(items, over=over, values=True).select("video_id", "shot_idx", "value")
 
 
 @query(

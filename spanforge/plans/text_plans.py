@@ -517,7 +517,9 @@ def soften_text(spark, sf):
 
 @query(
     "is_content_filtered",
-    "SELECT page_id, CASE WHEN page_id % 4 IN (0, 1) THEN 1 ELSE 0 END AS filtered FROM pages",
+    """SELECT page_id, CAST(coalesce(contains(lower(error), 'content_filter') OR contains(lower(error), 'responsibleaipolicyviolation'), false) AS INT) AS filtered
+    FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || ': Content_Filter hit' WHEN 1 THEN 'ResponsibleAIPolicyViolation ' || url
+      WHEN 2 THEN 'timeout ' || url END AS error FROM pages)""",
 )
 def is_content_filtered(spark, sf):
     k = F.col("page_id") % 4

@@ -88,3 +88,19 @@ def test_run_centers(spark):
     votes = spark.createDataFrame([("d", "v", 1, f, 10) for f in (0, 1, 2, 5, 8, 9)], "dataset string, video_id string, user_id long, frame long, n long")
     got = sorted(r.center for r in sm.run_centers(votes, "n").collect())
     assert got == [pytest.approx(0.15), pytest.approx(0.55), pytest.approx(0.9)]
+
+
+def test_one_long_segment_is_spelled_into_few_buckets(spark):
+    from spanforge.operators import joins
+
+    unit = "dataset string, video_id string"
+    spans = [("d", "v", 0, 0, 10_000_000), ("d", "v", 1, 5, 5), ("d", "v", 2, 60, 70), ("d", "v", 3, 9, 8), ("d", "v", 4, 900, 4_000)]
+    segments = spark.createDataFrame(spans, f"{unit}, shot_idx long, start long, end long")
+    points = spark.createDataFrame([("d", "v", p) for p in (0, 5, 64, 900, 4_000, 4_001, 10_000_000, 10_000_001)], f"{unit}, at long")
+    got = sorted((r.shot_idx, r.at) for r in joins.interval_hits(segments, points, "at").collect())
+    assert got == sorted((s, p.at) for _, _, s, a, b in spans for p in points.collect() if a <= p.at <= b)
+    hits = joins.interval_hits(segments, points, "at")
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" in plan  # at most five buckets a segment:
+    size = 64 * 8 ** math.ceil(math.log2(10_000_001 / 256) / 3)
+    assert 10_000_000 // size + 1 <= 5
