@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -61,6 +62,15 @@ def _ddl(kind: pa.DataType) -> str:
     return names[kind]
 
 
+def give_back() -> None:
+    """Hands memory that earlier work of a Python worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 

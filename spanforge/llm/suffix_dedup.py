@@ -13,7 +13,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from spanforge.llm.shared import give_back
 
 # Odd constants of 64-bit mixing.
 C1, C2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -113,13 +113,13 @@ def _table(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
 
 
 def minimizer_blobs(texts: DataFrame, buckets: int, p: Params) -> DataFrame:
-    """(bucket, ids, counts, minimizers): the distinct minimizers of texts (id, data), some hundred texts to a row."""
+    """(bucket, ids, nodes, counts, data): the distinct minimizers of texts (id, node, data), some hundred texts to a row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _portions(batch, 1, p.portion):
-                ids = part.column(0).to_numpy()
-                m, who, _, _ = runs(part.column(1).to_pylist(), p)
+            for part in _portions(batch, 2, p.portion):
+                ids, nodes = part.column(0).to_numpy(), part.column(1).to_numpy()
+                m, who, _, _ = runs(part.column(2).to_pylist(), p)
                 if not len(m):
                     continue
                 order = np.lexsort((m, who))
@@ -131,39 +131,42 @@ def minimizer_blobs(texts: DataFrame, buckets: int, p: Params) -> DataFrame:
                 m, who, place = m[order], who[order], place[order]
                 found, at = np.unique(place, return_index=True)
                 out: dict[str, tuple[list, pa.DataType]] = {
-                    "bucket": (found.tolist(), pa.int64()), "ids": ([], pa.binary()), "counts": ([], pa.binary()), "data": ([], pa.binary())
+                    "bucket": (found.tolist(), pa.int64()), **{name: ([], pa.binary()) for name in ("ids", "nodes", "counts", "data")}
                 }
                 for a, b in zip(at, [*at[1:], len(m)]):
                     own, counts = np.unique(who[a:b], return_counts=True)
                     out["ids"][0].append(ids[own].astype("<i8").tobytes())
+                    out["nodes"][0].append(nodes[own].astype("<i8").tobytes())
                     out["counts"][0].append(counts.astype("<u4").tobytes())
                     out["data"][0].append(_pack48(m[a:b]).tobytes())
                 yield _table(out)
 
-    return texts.select("id", "data").mapInArrow(work, "bucket long, ids binary, counts binary, data binary")
+    return texts.select("id", "node", "data").mapInArrow(work, "bucket long, ids binary, nodes binary, counts binary, data binary")
 
 
 def shared_minimizers(blobs: DataFrame, parts: int) -> DataFrame:
-    """(id, flags): for each text the minimizers that a text with another id holds too.
+    """(node, flags): for each text the minimizers that a text with another id holds too.
 
     What a bucket finds goes back in one row for each of ``parts`` groups of texts, where it is sorted by text.
     """
 
     def work(table: pa.Table) -> pa.Table:
         join = lambda name: b"".join(table[name].to_pylist())
-        ids = np.repeat(np.frombuffer(join("ids"), "<i8"), np.frombuffer(join("counts"), "<u4"))
+        counts = np.frombuffer(join("counts"), "<u4")
+        ids, nodes = (np.repeat(np.frombuffer(join(name), "<i8"), counts) for name in ("ids", "nodes"))
         m = _unpack48(join("data"))
         order = np.argsort(m, kind="stable")
-        m, ids = m[order], ids[order]
+        m, ids, nodes = m[order], ids[order], nodes[order]
         head = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
         several = np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head)
         keep = np.repeat(several, np.diff(np.append(head, len(m))))
-        m, ids = m[keep], ids[keep]
+        m, ids = m[keep], nodes[keep]
         part = _bucket(ids.astype(np.uint64), parts)
         order = np.argsort(part, kind="stable")
         data, ids, part = _pack48(m[order]), ids[order].astype("<i8"), part[order]
         own, at = np.unique(part, return_index=True)
         cuts = list(zip(at, [*at[1:], len(ids)]))
+        give_back()
         columns = [pa.array(own, pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (ids, data))]
         return pa.table(columns, names=["part", "ids", "data"])
 
@@ -174,19 +177,19 @@ def shared_minimizers(blobs: DataFrame, parts: int) -> DataFrame:
         ids, data = ids[order], data[order]
         own, at = np.unique(ids, return_index=True)
         flags = [data[a:b].tobytes() for a, b in zip(at, [*at[1:], len(ids)])]
-        return pa.table([pa.array(own, pa.int64()), pa.array(flags, pa.binary())], names=["id", "flags"])
+        return pa.table([pa.array(own, pa.int64()), pa.array(flags, pa.binary())], names=["node", "flags"])
 
     found = blobs.groupBy("bucket").applyInArrow(work, "part long, ids binary, data binary")
-    return found.groupBy("part").applyInArrow(by_text, "id long, flags binary")
+    return found.groupBy("part").applyInArrow(by_text, "node long, flags binary")
 
 
 def snippet_blobs(texts: DataFrame, buckets: int, p: Params) -> DataFrame:
-    """(bucket, runs, data): the strings around shared minimizers, of texts (id, data, tag, flags)."""
+    """(bucket, runs, data): the strings around shared minimizers, of texts (id, data, node, flags)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _portions(batch, 1, p.portion):
-                ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
+                ids, nodes = part.column(0).to_numpy(), part.column(2).to_numpy()
                 texts = part.column(1).to_pylist()
                 m, who, first, last = runs(texts, p)
                 if not len(m):
@@ -204,78 +207,127 @@ def snippet_blobs(texts: DataFrame, buckets: int, p: Params) -> DataFrame:
                 out: dict[str, tuple[list, pa.DataType]] = {"bucket": (found.tolist(), pa.int64()), "runs": ([], pa.binary()), "data": ([], pa.binary())}
                 stops = last + p.length
                 for a, b in zip(at, [*at[1:], len(m)]):
-                    rows = np.column_stack([ids[who[a:b]], tags[who[a:b]], first[a:b], stops[a:b] - first[a:b], m[a:b].astype(np.int64)])
+                    rows = np.column_stack([ids[who[a:b]], nodes[who[a:b]], first[a:b], stops[a:b] - first[a:b], m[a:b].astype(np.int64)])
                     out["runs"][0].append(rows.astype("<i8").tobytes())
                     out["data"][0].append(b"".join([texts[w][x:y] for w, x, y in zip(who[a:b].tolist(), first[a:b].tolist(), stops[a:b].tolist())]))
                 yield _table(out)
 
-    return texts.select("id", "data", "tag", "flags").mapInArrow(work, "bucket long, runs binary, data binary")
+    return texts.select("id", "data", "node", "flags").mapInArrow(work, "bucket long, runs binary, data binary")
+
 
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all suffixes, sorted by at least their first ``depth`` bytes; whether each differs there from the one before).
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of all suffixes, sorted by at least their first ``depth`` bytes; beyond the end stand zero bytes.
+    Beyond the end stand zero bytes.
 
     Larsson-Sadakane refinement: after a sort by eight bytes, only groups of suffixes that are still equal are sorted again, by the
     rank of the suffix that begins where the compared part ends, which doubles that part.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
-    head = np.append(True, key[order][1:] != key[order][:-1])
-    rank = np.zeros(n + 1, np.int64)  # the end of the text has rank 0
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(1, n + 1), 0))
+        key <<= np.uint64(8)
+        key |= padded[j : j + n]
+    order = np.argsort(key)
+    key = key[order]
+    head = np.append(True, key[1:] != key[:-1])
+    del key
+    order = order.astype(np.int32)
+    rank = np.zeros(n + 1, np.int32)  # the end of the text has rank 0
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(1, n + 1, dtype=np.int32), 0))
     known = 8
     while known < depth:
         alone = head & np.append(head[1:], True)
-        open_ = np.flatnonzero(~alone)
+        open_ = np.flatnonzero(~alone).astype(np.int32)
         if not len(open_):
             break
         places = order[open_]
-        group, then = rank[places], rank[np.minimum(places + known, n)]
-        by = np.lexsort((then, group))
-        places, group, then = places[by], group[by], then[by]
+        both = rank[places].astype(np.int64) * (n + 1)
+        both += rank[np.minimum(places + np.int32(known), n)]
+        by = np.argsort(both)
+        places, both = places[by], both[by]
+        del by
         order[open_] = places
-        fresh = np.append(True, (group[1:] != group[:-1]) | (then[1:] != then[:-1]))
+        fresh = np.append(True, both[1:] != both[:-1])
+        del both
         head[open_] = fresh
         rank[places] = np.maximum.accumulate(np.where(fresh, open_ + 1, 0))
         known *= 2
-    return order
+    return order, head
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, head: np.ndarray, cap: int, lanes: int = 1 << 14) -> np.ndarray:
     """Length, up to ``cap``, of the common prefix of each suffix in ``order`` and the one before it (0 for the first).
 
-    As in Kasai's method each suffix is compared with its predecessor in the array and lengths are stored by rank; instead
-    of going through the text one suffix after another, all pairs that are still equal go on together, byte by byte.
+    Kasai's method: the suffixes are met in the order of the text, and one byte less than the last length is known to agree
+    already. The text is cut into lanes that are walked side by side, each with its own length; eight bytes are compared at a time. Suffixes that
+    the sort did not tell apart (no ``head``) agree as far as asked; what follows one of them starts from nothing.
     """
-    n = len(text)
-    out = np.zeros(len(order), np.int64)
-    left = np.arange(1, len(order))
-    for k in range(cap):
-        a, b = order[left] + k, order[left - 1] + k
-        ok = (a < n) & (b < n)
-        left, a, b = left[ok], a[ok], b[ok]
-        left = left[text[a] == text[b]]
-        out[left] += 1
+    n = len(order)
+    if not n:
+        return np.zeros(0, np.int64)
+    before = np.full(n, -1, np.int32)
+    before[order[1:]] = order[:-1]
+    alike = np.zeros(n, bool)
+    alike[order] = ~head
+    padded = np.concatenate([text, np.zeros(8 + cap, np.uint8)])
+    word = np.zeros(len(padded) - 7, np.uint64)
+    for j in range(8):
+        word <<= np.uint64(8)
+        word |= padded[j : j + len(word)]
+    out = np.zeros(n, np.int32)
+    width = -(-n // lanes)
+    start = np.arange(0, n, width)
+    carried = np.zeros(len(start), np.int64)
+    for t in range(width):
+        at = start + t
+        if at[-1] >= n:
+            at, carried = at[:-1], carried[: len(at) - 1]
+        other = before[at].astype(np.int64)
+        same = alike[at]
+        length = np.where(same, cap, carried)
+        open_ = np.flatnonzero(~same & (other >= 0))
+        while len(open_):
+            k = length[open_]
+            a, b = at[open_] + k, other[open_] + k
+            differ = word[a] ^ word[b]
+            # Equal bytes at the front: those above the highest bit that differs.
+            equal = np.where(differ == 0, 8, 8 - _bytes_of(differ))
+            room = np.minimum(n - np.maximum(a, b), cap - k)
+            length[open_] = k + np.minimum(equal, room)
+            open_ = open_[(equal == 8) & (room > 8)]
+        length[other < 0] = 0
+        out[at] = length
+        carried = np.where(same, 0, np.maximum(length - 1, 0))
+    return out[order]
+
+
+def _bytes_of(x: np.ndarray) -> np.ndarray:
+    """How many bytes a positive 64-bit number has."""
+    out = np.zeros(len(x), np.int64)
+    for k in range(8):
+        out += (x >> np.uint64(8 * k)) > 0
     return out
 
 
-def window_classes(text: np.ndarray, starts: np.ndarray, owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct windows, smallest owner of each) of one shard, from its suffix array."""
-    order = suffix_array(text, length)
-    wanted = np.full(len(text), -1, np.int64)
+def window_classes(text: np.ndarray, starts: np.ndarray, owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class of each window, smallest owner of each class, a place of each class) of one array, classes in order of their bytes."""
+    order, head = suffix_array(text, length)
+    prefix = common_prefixes(text, order, head, length)
+    wanted = np.full(len(text), -1, np.int32)
     wanted[starts] = np.arange(len(starts))
-    order = order[wanted[order] >= 0]
-    same = common_prefixes(text, order, length) >= length
-    head = np.flatnonzero(~same)
-    if not len(head):
-        return np.empty(0, f"S{length}"), np.empty(0, np.int64)
-    least = np.minimum.reduceat(owners[wanted[order]], head)
-    keys = text[order[head][:, None] + np.arange(length)]
-    return np.ascontiguousarray(keys).view(f"S{length}").ravel(), least
+    window = wanted[order]
+    del wanted
+    chosen = np.flatnonzero(window >= 0)
+    # Between two windows the least of the lengths on the way counts.
+    same = np.minimum.reduceat(prefix, np.append(0, chosen[:-1] + 1)) >= length
+    same[0] = False
+    number = np.cumsum(~same) - 1
+    out = np.empty(len(starts), np.int64)
+    out[window[chosen]] = number
+    first = np.flatnonzero(~same)
+    return out, np.minimum.reduceat(owners[window[chosen]], first), order[chosen[first]]
 
 
 def merge_classes(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -300,36 +352,37 @@ def earlier_windows(snippets: list[bytes], owners: np.ndarray, p: Params) -> Ite
             used = 0
         shards[-1].append(k)
         used += size
-    classes, windows = [], []
+    arrays = []
     for shard in shards:
         text = np.frombuffer(b"".join([snippets[k] for k in shard]), np.uint8)
         own = sizes[shard]
         begin = np.cumsum(own) - own
         count = own - p.length + 1
         starts = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        classes.append(window_classes(text, starts, np.repeat(owners[shard], count), p.length))
-        windows.append((text, starts, count))
-    while len(classes) > 1:
-        pairs = [classes[i : i + 2] for i in range(0, len(classes), 2)]
-        classes = [merge_classes(*x) if len(x) == 2 else x[0] for x in pairs]
-    keys, least = classes[0]
-    for (text, starts, count), shard in zip(windows, shards, strict=True):
-        ends = np.cumsum(count)
-        at = 0
-        for k, stop in zip(shard, ends.tolist(), strict=True):
-            rows = text[starts[at:stop][:, None] + np.arange(p.length)]
-            found = np.searchsorted(keys, np.ascontiguousarray(rows).view(f"S{p.length}").ravel())
-            yield least[found] < owners[k]
-            at = stop
+        arrays.append((text, count, *window_classes(text, starts, np.repeat(owners[shard], count), p.length)))
+    least_of = [least for _, _, _, least, _ in arrays]
+    if len(arrays) > 1:
+        keyed = []
+        for text, _, _, least, place in arrays:
+            rows = text[place[:, None] + np.arange(p.length)]
+            keyed.append((np.ascontiguousarray(rows).view(f"S{p.length}").ravel(), least))
+        merged = keyed
+        while len(merged) > 1:
+            pairs = [merged[i : i + 2] for i in range(0, len(merged), 2)]
+            merged = [merge_classes(*x) if len(x) == 2 else x[0] for x in pairs]
+        least_of = [merged[0][1][np.searchsorted(merged[0][0], keys)] for keys, _ in keyed]
+    for (_, count, number, _, _), least, shard in zip(arrays, least_of, shards, strict=True):
+        earlier = least[number] < np.repeat(owners[shard], count)
+        yield from np.split(earlier, np.cumsum(count)[:-1])
 
 
 def removals(blobs: DataFrame, p: Params) -> DataFrame:
-    """(id, tag, spans): byte ranges of each text that are covered by windows of texts with smaller ids."""
+    """(id, node, spans): byte ranges of each text that are covered by windows of texts with smaller ids."""
 
     def work(table: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(table["runs"].to_pylist()), "<i8").reshape(-1, 5)
         data = b"".join(table["data"].to_pylist())
-        ids, tags, first, size = (rows[:, k] for k in range(4))
+        ids, nodes, first, size = (rows[:, k] for k in range(4))
         ends = np.cumsum(size)
         pieces = [data[e - s : e] for e, s in zip(ends.tolist(), size.tolist())]
         # Equal snippets are one; only the first of their texts has to look for its windows elsewhere.
@@ -345,23 +398,24 @@ def removals(blobs: DataFrame, p: Params) -> DataFrame:
         flagged = dict(zip(several.tolist(), earlier_windows([distinct[k] for k in several], owner[several], p))) if len(several) else {}
         out_id, out_tag, out_a, out_b = [], [], [], []
         later = ids > owner[kind]
-        out_id.append(ids[later]), out_tag.append(tags[later]), out_a.append(first[later]), out_b.append((first + size)[later])
+        out_id.append(ids[later]), out_tag.append(nodes[later]), out_a.append(first[later]), out_b.append((first + size)[later])
         for k in np.flatnonzero(~later).tolist():
             flags = flagged.get(int(kind[k]))
             if flags is None or not flags.any():
                 continue
             edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
             a, b = first[k] + edges[::2], first[k] + edges[1::2] - 1 + p.length
-            out_id.append(np.full(len(a), ids[k])), out_tag.append(np.full(len(a), tags[k])), out_a.append(a), out_b.append(b)
+            out_id.append(np.full(len(a), ids[k])), out_tag.append(np.full(len(a), nodes[k])), out_a.append(a), out_b.append(b)
         i, t, a, b = (np.concatenate(x) for x in (out_id, out_tag, out_a, out_b))
         order = np.lexsort((a, t, i))
         i, t, a, b = i[order], t[order], a[order], b[order]
         head = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (t[1:] != t[:-1]))) if len(i) else np.empty(0, np.int64)
         both = np.column_stack([a, b]).astype("<i8")
         spans = [both[x:y].tobytes() for x, y in zip(head, [*head[1:], len(i)])]
-        return pa.table([pa.array(i[head], pa.int64()), pa.array(t[head], pa.int64()), pa.array(spans, pa.binary())], names=["id", "tag", "spans"])
+        give_back()
+        return pa.table([pa.array(i[head], pa.int64()), pa.array(t[head], pa.int64()), pa.array(spans, pa.binary())], names=["id", "node", "spans"])
 
-    return blobs.groupBy("bucket").applyInArrow(work, "id long, tag long, spans binary")
+    return blobs.groupBy("bucket").applyInArrow(work, "id long, node long, spans binary")
 
 
 def _union(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -423,18 +477,18 @@ def remove_repeats(
     all_ = docs.select(key, *keep, ordered.alias("id"), F.sha2(body, 256).alias("sha"), F.octet_length(body).cast("long").alias("n_bytes"))
     total = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
     firsts = all_.groupBy("sha").agg(F.min("id").alias("id"))
-    tag = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")
-    # One exchange of the texts, by id, serves all three uses below. Texts of one id are told apart by their hash, in a
-    # form that doesn't become a second join key, which would deal the texts anew for every use.
-    texts = docs.select(ordered.alias("id"), body.cast("binary").alias("data"))
-    base = texts.join(firsts, "id").filter(F.instr(F.sha2("data", 256), F.col("sha")) == 1).withColumn("tag", tag)
+    # One exchange of the texts, by a hash of key and text, serves all three uses below: texts of one key, or without one, don't meet. Should two
+    # such hashes ever agree, text and key tell them apart, in a form that doesn't become a second join key, which would deal the texts anew.
+    node = F.xxhash64("id", "sha").alias("node")
+    firsts = firsts.select(node, F.col("sha").alias("_sha"), F.col("id").alias("_id"))
+    texts = docs.select(ordered.alias("id"), body.cast("binary").alias("data"), F.sha2(body, 256).alias("sha"))
+    base = texts.select("id", "data", "sha", node).join(firsts, "node").filter((F.instr("sha", F.col("_sha")) == 1) & (F.col("id") >= F.col("_id")) & (F.col("id") <= F.col("_id"))).drop("_sha", "_id")
     coarse, fine = (max(1, math.ceil(total / n)) for n in (p.candidate_bytes, p.shard_bytes))
     shared = shared_minimizers(minimizer_blobs(base, coarse, p), max(1, math.ceil(total / p.part_bytes)))
-    found = removals(snippet_blobs(base.join(shared, "id"), fine, p), p)
-    # Joined by id alone, as the texts are dealt already; the tag picks the spans of this text.
-    found = found.groupBy("id").agg(F.collect_list(F.struct("tag", "spans")).alias("found"))
-    own = F.transform(F.filter("found", lambda x: x["tag"] == F.col("tag")), lambda x: x["spans"])
-    cut = base.join(found, "id", "left").withColumn("spans", own)
+    found = removals(snippet_blobs(base.join(shared, "node"), fine, p), p)
+    found = found.groupBy("node").agg(F.collect_list(F.struct("id", "spans")).alias("found"))
+    own = F.transform(F.filter("found", lambda x: x["id"] == F.col("id")), lambda x: x["spans"])
+    cut = base.join(found, "node", "left").withColumn("spans", own)
 
     added = {"n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
     added |= {"kept_text": pa.string()} if kept_text else {}

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from spanforge.llm import suffix_dedup as sd
 from spanforge.llm.queries import QUERIES
@@ -65,11 +66,53 @@ def test_kept_text_has_whole_characters(spark, make_docs):
     assert sd._whole_characters("aéb".encode(), [(0, 2)]) == [(0, 1)] and sd._whole_characters("aéb".encode(), [(2, 3)]) == []
 
 
+@pytest.mark.parametrize("lanes", [1, 3, 100])
+def test_prefix_lengths_of_texts_with_long_repeats(lanes):
+    rng = np.random.default_rng(lanes)
+    for _ in range(30):
+        text = rng.integers(97, 99, int(rng.integers(1, 200))).astype(np.uint8)
+        text = np.concatenate([text, text[: int(rng.integers(0, 150))], np.full(int(rng.integers(0, 200)), 97, np.uint8), text])
+        order, head = sd.suffix_array(text, 20)
+        lcp = sd.common_prefixes(text, order, head, 20, lanes)
+        for k in range(1, len(order)):
+            a, b = bytes(text[order[k - 1] :][:20]), bytes(text[order[k] :][:20])
+            assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_many_texts_without_a_key_do_not_meet(spark, make_docs):
+    rows = [(None, f"{i} " + "a passage that is held by all of these texts and is longer than fifty bytes" + f" {i}") for i in range(400)]
+    df = make_docs(rows)
+    out = sd.remove_repeats(df)
+    assert out.count() == 400 and out.filter("n_removed > 0").count() == 0  # among equal keys none is smaller
+    joins = [m for m in _row_counts(out) if m is not None]
+    assert joins and max(joins) <= 2 * 400
+
+
+def _row_counts(df):
+    """Output rows of the joins of a plan that has run."""
+    df.write.format("noop").mode("overwrite").save()
+    execution = df._jdf.queryExecution()
+    df._jdf.rdd().count()
+    found, stack = [], [execution.executedPlan()]
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            stack.append(node.plan())
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    return found
+
+
 def test_arrays_and_merging():
     text = np.frombuffer(b"banana bandana banana", np.uint8)
-    order = sd.suffix_array(text, 64)
+    order, head = sd.suffix_array(text, 64)
     assert order.tolist() == sorted(range(len(text)), key=lambda i: bytes(text[i:]))
-    lcp = sd.common_prefixes(text, order, 50)
+    lcp = sd.common_prefixes(text, order, head, 50)
     for k in range(1, len(order)):
         a, b = bytes(text[order[k - 1] :]), bytes(text[order[k] :])
         n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
