@@ -139,11 +139,11 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
     assert arrive([1, 3]) == [1, 3]
 
 
-def test_flush_writes_one_folder_per_batch(spark, tmp_path):
+def test_flush_writes_one_folder_per_n_results(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     spark.range(0, 40, 1, 4).write.parquet(source)
     files = arrivals.arriving_files(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
-    arrivals.flush_every_n(files, lambda b: b.agg(F.count(F.lit(1)).alias("n")), out, state)
+    arrivals.flush_every_n(files, 10, lambda b: b.groupBy("flush").agg(F.count(F.lit(1)).alias("n")), out, state)
     got = spark.read.parquet(out)
     assert got.agg(F.sum("n")).first()[0] == 40 and got.select("flush").distinct().count() == 4
 
