@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.shared import map_texts, smallest_reachable
+from spanforge.llm.shared import give_back, map_texts, smallest_reachable
 from spanforge.session import checkpoint
 
 # Fixed value: the finalizer of a 64-bit mixer.
@@ -32,6 +32,11 @@ class Params:
     seed: int = 7_919
     star_rounds: int = 1
     block: int = 1_000  # nodes of a bucket that one task compares with as many others
+    block_tokens: int = 2_000_000  # and their tokens
+
+
+# Sets are compared by their tokens modulo this before they are confirmed.
+SHORT = 2**31 - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,9 +98,12 @@ def band_hashes(shingles: np.ndarray, p: Params) -> np.ndarray:
     return out.view(np.int64)
 
 
-@lru_cache(maxsize=4)
-def shingler(words: int) -> Shingler:
-    return Shingler(words)
+def task_shingler(state: dict[str, Shingler], words: int) -> Shingler:
+    """The shingler of a task; its cache ends with the task."""
+    if "own" not in state:
+        give_back()
+        state["own"] = Shingler(words)
+    return state["own"]
 
 
 def set_id(shingles: np.ndarray) -> bytes | None:
@@ -107,10 +115,13 @@ def signatures(docs: DataFrame, p: Params, keep: list[str], text: str) -> DataFr
     """The columns ``keep``, n_shingles, node (the set's id; null if empty), bands."""
     added = {"n_shingles": pa.int64(), "node": pa.binary(), "bands": pa.list_(pa.int64())}
 
+    state: dict[str, Shingler] = {}  # filled inside each task
+
     def work(texts: list[str]) -> dict[str, list]:
         out: dict[str, list] = {name: [] for name in added}
+        shingles = task_shingler(state, p.words)
         for t in texts:
-            s = shingler(p.words)(t)
+            s = shingles(t)
             out["n_shingles"].append(len(s))
             out["node"].append(set_id(s))
             out["bands"].append(band_hashes(s, p) if len(s) else [])
@@ -128,8 +139,10 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, p: Params, key: str, text: s
     """node, shingles of the wanted nodes, read again from the texts of their representatives."""
     added = {"_node": pa.binary(), "shingles": pa.list_(pa.int64())}
 
+    state: dict[str, Shingler] = {}  # filled inside each task
+
     def work(texts: list[str]) -> dict[str, list]:
-        sets = [shingler(p.words)(t) for t in texts]
+        sets = [task_shingler(state, p.words)(t) for t in texts]
         return {"_node": [set_id(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]}
 
     wanted = docs.select(_place(key, text).alias("_at"), F.col(text).alias("_body")).join(nodes, "_at")
@@ -215,17 +228,33 @@ def _links_across(bucket: pa.Table, percent: int) -> tuple[list[bytes], list[byt
     return left, right
 
 
-def _across(members: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, p: Params, exact: bool = False) -> DataFrame:
     """Links between different components of a bucket, found in tasks of two blocks of its nodes.
 
-    The sets travel to the buckets as 31-bit numbers and no pair becomes a row unless it is alike; what is found
-    is confirmed on the full sets like every other link.
+    Nodes outside the bucket's largest component are dealt to blocks that meet all blocks; those of the largest one meet only the
+    others. A block holds at most about ``block`` nodes and ``block_tokens`` tokens. The sets travel as 31-bit numbers unless
+    ``exact``, and no pair becomes a row unless it is alike; what is found is confirmed on the full sets like every other link.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / p.block).alias("_n"))
-    short = sets.select("node", F.transform("shingles", lambda x: F.pmod(x, F.lit(2**31 - 1)).cast("int")).alias("tokens"))
-    placed = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), "_n"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_o")
-    placed = placed.select("bucket", "node", "comp", "block", other)
+    token = (lambda x: x) if exact else (lambda x: F.pmod(x, F.lit(SHORT)).cast("int"))
+    short = sets.select("node", F.transform("shingles", token).alias("tokens"))
+    sized = members.join(sets.select("node", F.size("shingles").cast("long").alias("_size")), "node")
+    of_comp = sized.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_k"), F.sum("_size").alias("_s"))
+    blocks = lambda k, s: F.greatest(F.ceil(k / p.block), F.ceil(s / p.block_tokens))
+    total = of_comp.groupBy("bucket").agg(
+        F.max(F.struct("_k", "comp", "_s")).alias("_big"), F.sum("_k").alias("_k"), F.sum("_s").alias("_s")
+    )
+    total = total.select(
+        "bucket",
+        F.col("_big.comp").alias("_largest"),
+        F.greatest(blocks(F.col("_k") - F.col("_big._k"), F.col("_s") - F.col("_big._s")), F.lit(1)).cast("long").alias("_others"),
+        blocks(F.col("_big._k"), F.col("_big._s")).cast("long").alias("_rest"),
+    )
+    placed = members.join(total, "bucket")
+    large = F.col("comp") == F.col("_largest")
+    dealt = F.xxhash64("node", "bucket")
+    block = F.when(large, F.col("_others") + F.pmod(dealt, "_rest")).otherwise(F.pmod(dealt, "_others"))
+    last = F.when(large, F.col("_others")).otherwise(F.col("_others") + F.col("_rest")) - 1
+    placed = placed.withColumn("block", block).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     placed = placed.select("bucket", "node", "comp", "block", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"))
 
     def work(table: pa.Table) -> pa.Table:
@@ -243,8 +272,8 @@ def near_duplicates(
 
     Documents with the same shingle set are one node. Nodes that share a band are candidates; only pairs that aren't connected yet are
     compared: first each node with one node of its bucket, which joins most of a group of copies with as many comparisons as it has
-    members, then, inside tasks, the nodes that still lie in different components. So no candidate
-    that could join two components is left out, and every link is confirmed on the full sets. ``component_id`` is the smallest key reachable over links.
+    members, then, inside tasks, the nodes that still lie in different components. Every link is confirmed on the full sets; if one is not, the
+    last step is done again on whole tokens, so no candidate that could join two components is left out. ``component_id`` is the smallest key reachable over links.
 
     Null and empty texts, and texts of white space, have an empty set and are linked with nothing. Texts with fewer words than a shingle have
     their whole sequence as one. Repeated rows are documents of their own with the same component. A null key is never the component of others unless
@@ -262,15 +291,18 @@ def near_duplicates(
     sets = checkpoint(shingle_sets(docs, wanted, p, key, text))
     links = comps = None
     members = buckets.withColumn("comp", F.col("node"))
-    for turn in range(p.star_rounds + 1):
-        last = turn == p.star_rounds
-        pairs = checkpoint(_across(members, sets, p) if last else _star(members, turn))
-        if pairs.isEmpty():
-            continue
-        found = checkpoint(verified(pairs, sets, p.percent))
-        links = found if links is None else links.unionByName(found)
-        comps = smallest_reachable(links, "a", "b")
-        if not last:
+    for turn in range(p.star_rounds + 2):
+        star, exact = turn < p.star_rounds, turn > p.star_rounds
+        pairs = checkpoint(_star(members, turn) if star else _across(members, sets, p, exact))
+        candidates = pairs.count()
+        if candidates:
+            found = checkpoint(verified(pairs, sets, p.percent))
+            links = found if links is None else links.unionByName(found)
+            comps = smallest_reachable(links, "a", "b")
+        # A candidate that was not confirmed may have hidden others of the same two components: they are compared by whole tokens.
+        if not star and (exact or not candidates or found.count() == candidates):
+            break
+        if candidates:
             members = checkpoint(_members(buckets, comps))
     smallest = nodes.select("node", F.col(key).alias("_rep"))
     if comps is not None:

@@ -97,3 +97,31 @@ def test_query(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, sf, "documents").collect()]
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in QUERIES["op7_minhash"](spark, sf).collect())
     assert got == sorted(brute(rows))
+
+
+def test_rejected_candidates_hide_nothing(spark, make_docs, monkeypatch):
+    """Nearly all tokens collide, so most candidates of the last step are false."""
+    monkeypatch.setattr(minhash, "SHORT", 11)
+    rnd = random.Random(21)
+    rows, key = [], 0
+    for group in range(5):
+        words = [f"w{x}" for x in rnd.sample(range(300), 60)]
+        for _ in range(16):
+            words[rnd.randrange(60)] = f"w{rnd.randrange(300)}"
+            rows.append((key, " ".join(words)))
+            key += 1
+    check(spark, make_docs(rows), rows, minhash.Params(star_rounds=0))
+
+
+def test_long_texts_of_one_bucket_are_dealt_to_blocks(spark, make_docs):
+    rnd = random.Random(22)
+    words = [f"w{i}" for i in range(900)]
+    rows = []
+    for key in range(36):
+        if key % 3:
+            words[rnd.randrange(900)] = f"n{key}"
+        else:
+            words = [w if rnd.random() < 0.93 else f"m{key}x{i}" for i, w in enumerate(words)]
+        rows.append((key, " ".join(words)))
+    check(spark, make_docs(rows), rows, minhash.Params(star_rounds=0, block_tokens=5_000))
+    check(spark, make_docs(rows), rows, minhash.Params(block=2))
