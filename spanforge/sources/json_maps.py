@@ -219,7 +219,9 @@ def split_json_maps(spark: SparkSession, path: str) -> DataFrame:
         placed = records.withColumn("_row", F.monotonically_increasing_id()).join(states, RANGE)
         known = placed.repartition(*RANGE).sortWithinPartitions(*RANGE, "_row")
     pieces = _pieces(known.select(*RANGE, "inside", "depth", "phantom", "value"))
-    whole = pieces.filter(~F.col("goes_on") & F.col("ends")).select("path", "text")
+    # Conditions of a reader are tested before these filters, so other pieces have no text there.
+    alone = ~F.col("goes_on") & F.col("ends")
+    whole = pieces.filter(alone).select("path", F.when(alone, F.col("text")).alias("text"))
     # At most two pieces of a range are parts: they are numbered by the entries that begin among them.
     parts = pieces.filter(F.col("goes_on") | ~F.col("ends"))
     w = Window.partitionBy("path").orderBy("block", "number")
@@ -242,5 +244,7 @@ def read_json_map(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     parsed = F.from_json(F.concat(F.lit("{"), F.col("entry"), F.lit("}")), "MAP<STRING, STRING>")
     message = F.concat(F.lit("not an entry of a JSON object: "), F.substring("entry", 1, 100))
     one = F.when(F.size(F.map_keys(parsed)) == 1, F.map_entries(parsed)[0])
-    checked = F.coalesce(one, F.raise_error(message).cast("struct<key: string, value: string>"))
+    # Spark may look at rows before split_json_maps has dropped them; only texts are errors.
+    failed = F.raise_error(message).cast("struct<key: string, value: string>")
+    checked = one.when(F.regexp(F.col("entry"), F.lit(r"\S")), failed)
     return entries.select(checked.alias("e")).select(F.lit(dataset).alias("dataset"), F.col("e.key").alias("video_id"), F.col("e.value").alias("doc"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from spanforge.sources import json_maps
+from spanforge.sources.records import parse_nested_docs
 
 
 @pytest.fixture
@@ -106,3 +107,12 @@ def test_scan_functions_compose():
                     depth += (c in "{[") - (c in "}]")
             _, change, end = json_maps.scan(data, start)
             assert (int(change.sum()), end) == (depth, inside)
+
+
+def test_exploded_values_of_entries_across_ranges(spark, ranges, tmp_path):
+    want = {f"v_{i}": {"frames": [{"frame_id": j, "description": "x" * j} for j in range(6)]} for i in range(40)}
+    path = write(tmp_path / "map.json", json.dumps(want))
+    ranges(100)
+    frames = parse_nested_docs(json_maps.read_json_map(spark, path, "d"))["frames"]
+    got = sorted((r.video_id, r.frame_id, r.description) for r in frames.collect())
+    assert got == sorted((v, f["frame_id"], f["description"]) for v, d in want.items() for f in d["frames"])
