@@ -153,7 +153,7 @@ def overlap_join(spark, sf):
 @query(
     "first_match_join",
     """SELECT o_orderkey, l_partkey AS first_part FROM orders LEFT JOIN
-    (SELECT l_orderkey, arg_min(l_partkey, l_linenumber * 1000000 + l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey)
+    (SELECT l_orderkey, arg_min(l_partkey, row(l_linenumber, l_partkey)) AS l_partkey FROM lineitem GROUP BY l_orderkey)
     ON o_orderkey = l_orderkey""",
 )
 def first_match_join(spark, sf):
