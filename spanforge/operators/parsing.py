@@ -123,10 +123,13 @@ def parse_assignments(
 
 
 def assignment_rows(parsed: DataFrame) -> DataFrame:
-    """One row per answered line and id; ``display_pos`` is the line number."""
-    return parsed.select(*KEYS, F.explode("lines").alias("l")).select(
-        *KEYS, F.col("l.k").alias("display_pos"), F.explode("l.ids").alias("pred_id")
-    )
+    """One row per answered line and id; ``display_pos`` is the line number.
+
+    The outer forms keep Spark from testing for empty lists ahead of them, which would parse every answer again.
+    """
+    lines = parsed.select(*KEYS, F.explode_outer("lines").alias("l"))
+    named = lines.select(*KEYS, F.col("l.k").alias("display_pos"), F.posexplode_outer("l.ids").alias("_p", "pred_id"))
+    return named.filter(F.col("_p").isNotNull()).drop("_p")
 
 
 def parse_candidates(outputs: DataFrame) -> DataFrame:
@@ -271,7 +274,6 @@ def parse_first_index(raw: Column, n: Column) -> tuple[Column, Column]:
 
 
 def explode_predictions(parsed: DataFrame, ids: str = "ranking") -> DataFrame:
-    """``pos`` (1-based) and ``pred_id`` of every parsed answer."""
-    return parsed.select(*KEYS, F.posexplode(ids).alias("_p", "pred_id")).select(
-        *KEYS, (F.col("_p") + 1).cast("long").alias("pos"), "pred_id"
-    )
+    """``pos`` (1-based) and ``pred_id`` of every parsed answer; outer as in :func:`assignment_rows`."""
+    listed = parsed.select(*KEYS, F.posexplode_outer(ids).alias("_p", "pred_id")).filter(F.col("_p").isNotNull())
+    return listed.select(*KEYS, (F.col("_p") + 1).cast("long").alias("pos"), "pred_id")

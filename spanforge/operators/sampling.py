@@ -37,6 +37,8 @@ def sample_per_group(
     Adds ``n_items`` and 0-based ``orig_pos``. Groups are cut to n before the
     shuffle, so the later windows see at most n rows each.
     """
+    # The last key differs most; sorts that begin with it seldom look at the others.
+    keys = list(reversed(keys))
     drawn = first_rows(df, keys, [draw_key(seed, columns=[*salt_columns, item]), F.col(item)], n).drop("_rank")
     w = Window.partitionBy(*keys)
     return drawn.withColumns(
@@ -51,7 +53,7 @@ def shuffle_per_group(
     sampled: DataFrame, seed: int, keys: Sequence[str] = KEYS, item: str = "item_key"
 ) -> DataFrame:
     """Add the 1-based display position; with ``orig_pos`` it is its own inverse map."""
-    w = Window.partitionBy(*keys).orderBy(draw_key("shuffle", seed, columns=[*KEYS, item]), item)
+    w = Window.partitionBy(*reversed(keys)).orderBy(draw_key("shuffle", seed, columns=[*KEYS, item]), item)
     return sampled.withColumn("display_pos", F.row_number().over(w).cast("long"))
 
 
