@@ -13,6 +13,10 @@ from spanforge.sources import views
 from spanforge.sources.views import FEATURE_FRAMES, FRAMES, ORDER_LINES, SEGMENTS, SHOT_FRAMES, VOTES
 
 
+# Steps that one row spells out.
+STEP_BLOCK = 65_536
+
+
 @query(
     "votes_to_score",
     with_ctes(
@@ -45,9 +49,12 @@ def votes_to_score(spark, sf):
 def project_votes(spark, sf):
     votes = views.votes(spark, sf)
     lasts = views.last_frames(votes)
-    grid = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("step")
+    # The few rows of the groups would meet in one task, and all their steps with them, so blocks of steps are dealt out first.
+    blocks = lasts.select(*KEYS, "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(STEP_BLOCK))).alias("first"))
+    steps = F.sequence(F.col("first"), F.least(F.col("first") + STEP_BLOCK - 1, F.col("last")))
+    grid = blocks.repartition(*KEYS, "first").select(*KEYS, "last", F.explode(steps).alias("step"))
     # Picks in another order than the steps, some beyond the annotated length.
-    picks = lasts.select(*KEYS, "last", grid).select(*KEYS, "step", (F.col("step") * 37 % (F.col("last") + 101)).alias("pick"))
+    picks = grid.select(*KEYS, "step", (F.col("step") * 37 % (F.col("last") + 101)).alias("pick"))
     out = gt.project_votes(picks, votes, lasts.select(*KEYS, (F.col("last") + 1).alias("n_frames")))
     return out.select("video_id", "user_id", "step")
 
