@@ -14,10 +14,13 @@ from spanforge.operators import kernel_blocks
 from spanforge.operators.bounded_choice import select_bounded
 from spanforge.operators.kernel_blocks import STRIP, alone_limit, cut_tiles, gap_tiles, mass_of
 from spanforge.operators.ordered import KEYS, Oversize, find_oversize, running_sum, with_position
+from spanforge.operators.priced_cuts import gains, priced_cuts
 from spanforge.session import checkpoint, row_limit
 
 # Distances that may be sorted at once when the middle one is looked for.
 SORTED_GAPS = 1 << 22
+# Steps squared times segments up to which the full recursion is as fast as prices, and steps of a sequence that one task may cut by prices.
+FULL_CUTS, PRICED_STEPS = 1_000_000_000, 65_536
 # Items of one group that are packed into a row and folded there.
 FOLD_ROWS = 20_000
 # Value-curve cells kept at once for the exact choice, the longest full curve, and the longest list of undominated choices.
@@ -181,25 +184,6 @@ def median_bandwidth(frames: DataFrame, sample: int | None = None, seed: int = 4
     return out
 
 
-def _gains(x: np.ndarray, sigma: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For every end e the kernel mass over length of all segments [s, e), s < e.
-
-    The mass of [s, e) is that of [s, e - 1) and what the row of e - 1 adds, so one vector follows from the one
-    before and no square matrix is kept.
-    """
-    n = len(x)
-    mass = np.zeros(n)
-    norms = (x * x).sum(axis=1)
-    for at in range(0, n, STRIP):
-        own = x[at : at + STRIP]
-        gaps = norms[at : at + STRIP, None] + norms[None, :] - 2.0 * (own @ x.T)
-        strip = np.exp(-gaps / (2.0 * sigma * sigma))
-        for row, last in zip(strip, range(at, at + len(own)), strict=True):
-            added = 2.0 * np.cumsum(row[last::-1])[::-1] - row[last]
-            mass[: last + 1] += added
-            yield last + 1, mass[: last + 1] / np.arange(last + 1, 0, -1)
-
-
 def best_cuts(x: np.ndarray, sigma: float, n_segments: int, min_len: int = 1) -> list[int]:
     """Starts of the segments that maximize the sum of kernel mass over length.
 
@@ -208,7 +192,7 @@ def best_cuts(x: np.ndarray, sigma: float, n_segments: int, min_len: int = 1) ->
     n = len(x)
     best = np.full((n_segments, n + 1), -np.inf)
     origin = np.zeros((n_segments, n + 1), dtype=np.int32)
-    for end, gain in _gains(x, sigma):
+    for end, gain in gains(x, sigma):
         usable = end - min_len + 1
         if usable <= 0:
             continue
@@ -225,39 +209,60 @@ def best_cuts(x: np.ndarray, sigma: float, n_segments: int, min_len: int = 1) ->
     return [0, *reversed(cuts)]
 
 
+def _cuts(x: np.ndarray, sigma: float, n_segments: int, min_len: int, full: bool) -> list[int] | None:
+    """The starts of :func:`best_cuts`; without ``full``, None where prices leave too many segments open."""
+    small = n_segments * len(x) ** 2 <= FULL_CUTS
+    starts = None if full and small else priced_cuts(x, sigma, n_segments, min_len)
+    return best_cuts(x, sigma, n_segments, min_len) if full and starts is None else starts
+
+
 def segment_by_kernel(
     frames: DataFrame, steps_per_segment: int = 10, min_len: int = 1, block: int | None = None
 ) -> DataFrame:
     """Change points of vector sequences; inclusive [start, end] per segment.
 
-    Sequences of any length are solved as one; those above ``kernel_blocks.ALONE`` steps by blocks over several tasks. Only where
+    Sequences of any length are solved as one. Those above ``kernel_blocks.ALONE`` steps have a task of their own up to ``PRICED_STEPS``; longer
+    ones, and those that prices leave undecided, are solved by blocks over several tasks. Only where
     the caller asks for ``block`` are cuts forced at every so many steps.
     """
+    spark = frames.sparkSession
     sized = frames.select(*KEYS, "step", "feature").join(median_bandwidth(frames), list(KEYS))
     part = F.lit(0) if block is None else F.floor(F.col("step") / block)
     sized = sized.withColumn("block", part.cast("long"))
     parts = [*KEYS, "block"]
-    over = find_oversize(sized, parts, alone_limit(frames.sparkSession))
+    over = find_oversize(sized, parts, alone_limit(spark))
     sized, big = over.split(sized, parts)
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("step")
-        x = np.stack(group["feature"].to_numpy()).astype("float64")
-        n = len(x)
-        wanted = max(1, min(n // steps_per_segment, n // min_len))
-        starts = best_cuts(x, float(group["sigma"].iloc[0]), wanted, min_len)
-        base = int(group["step"].iloc[0])
-        return pd.DataFrame(
-            {
-                **{k: group[k].iloc[0] for k in KEYS},
-                "start": np.array(starts) + base,
-                "end": np.array([*starts[1:], n]) - 1 + base,
-            }
-        )
+    def solver(full: bool):
+        def one(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("step")
+            x = np.stack(group["feature"].to_numpy()).astype("float64")
+            n, fixed = len(x), {k: group[k].iloc[0] for k in parts}
+            starts = _cuts(x, float(group["sigma"].iloc[0]), max(1, min(n // steps_per_segment, n // min_len)), min_len, full)
+            if starts is None:
+                return pd.DataFrame({**fixed, "start": [-1], "end": [-1]})
+            base = int(group["step"].iloc[0])
+            return pd.DataFrame({**fixed, "start": np.array(starts) + base, "end": np.array([*starts[1:], n]) - 1 + base})
 
+        return one
+
+    schema = "dataset string, video_id string, block long, start long, end long"
     pieces = None
     if sized is not None:
-        pieces = sized.groupBy(*parts).applyInPandas(one, "dataset string, video_id string, start long, end long")
+        pieces = sized.groupBy(*parts).applyInPandas(solver(True), schema).drop("block")
+    if big is not None:
+        longest = find_oversize(big, parts, max(over.limit, min(PRICED_STEPS, row_limit(spark))))
+        priced, big = longest.split(big, parts)
+        if priced is not None:
+            # Ranges of groups, so that no two long ones wait for each other in one task.
+            apart = priced.repartitionByRange(min(4 * over.n_groups, 2_000), *parts)
+            solved = checkpoint(apart.groupBy(*parts).applyInPandas(solver(False), schema))
+            undecided = solved.filter("start < 0").select(*parts)
+            if not undecided.isEmpty():
+                left = priced.join(undecided, parts, "left_semi")
+                big = left if big is None else big.unionByName(left)
+            solved = solved.filter("start >= 0").drop("block")
+            pieces = solved if pieces is None else pieces.unionByName(solved)
     if big is not None:
         # Forced blocks are sequences of their own, named apart while they are solved.
         apart = F.concat_ws("#", F.col("block"), F.col("video_id"))
