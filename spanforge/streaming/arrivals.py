@@ -17,6 +17,8 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from spanforge.operators.ordered import with_position
 from spanforge.session import checkpoint, fresh_dir
 
+# Folders of flushes that a task writes one after another, beyond one task for each core.
+FOLDERS_PER_TASK = 64
 # What is known after a batch: flushes written so far, whether the rest was written too, and rows carried on.
 _FACTS = StructType(
     [StructField("batch", LongType()), StructField("flushes", LongType()), StructField("closed", BooleanType()), StructField("carried", LongType())]
@@ -92,7 +94,11 @@ def flush_every_n(
         rows = spark.read.schema(kinds).parquet(carried)
         return rows.filter((F.col("batch") == fact["batch"]) & F.lit(not fact["closed"])).drop("batch")
 
-    def replace(df: DataFrame, place: str, by: str) -> None:
+    def replace(df: DataFrame, place: str, by: str, folders: int = 1) -> None:
+        if folders > 1:
+            # A folder takes as long as some thousand rows, so tasks are dealt out by folders, however few rows these hold.
+            most = max(spark.sparkContext.defaultParallelism, -(-folders // FOLDERS_PER_TASK))
+            df = df.repartition(min(folders, most), by)
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(place)
 
     def note(batch: int, flushes: int, closed: bool, left: int) -> None:
@@ -108,7 +114,7 @@ def flush_every_n(
         full, left = divmod(rows.count(), n)
         if full:
             flush = (F.floor(F.col("_at") / n) + before["flushes"]).cast("long")
-            replace(derive(placed.filter(F.col("_at") < full * n).withColumn("flush", flush).drop("_at")), out, "flush")
+            replace(derive(placed.filter(F.col("_at") < full * n).withColumn("flush", flush).drop("_at")), out, "flush", full)
         replace(placed.filter(F.col("_at") >= full * n).drop("_at").withColumn("batch", F.lit(number).cast("long")), carried, "batch")
         note(number, before["flushes"] + full, False, left)
 

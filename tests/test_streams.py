@@ -46,3 +46,15 @@ def test_a_failed_batch_is_repeated(spark, folder, monkeypatch):
         run(close=False)
     monkeypatch.setattr(arrivals, "with_position", real)
     assert run() == ([10, 10, 10, 7], list(range(37)))
+
+
+def test_folders_of_flushes_are_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(4_000).selectExpr("id", "id % 3 AS kind")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = arrivals.arriving_files(spark, str(tmp_path / "in"), rows.schema, glob="*.parquet")
+    derive = lambda b: b.groupBy("flush", "kind").agg(F.count(F.lit(1)).alias("n"))
+    arrivals.flush_every_n(stream, 50, derive, str(tmp_path / "out"), str(tmp_path / "state"), ["id"])
+    files = list((tmp_path / "out").glob("flush=*/part-*.parquet"))
+    assert len(files) == 80 and len({f.name.split("-")[1] for f in files}) > 1
+    sizes = spark.read.parquet(str(tmp_path / "out")).groupBy("flush").agg(F.sum("n").alias("n"))
+    assert {r.flush: r.n for r in sizes.collect()} == dict.fromkeys(range(80), 50)
