@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from spanforge.operators import metrics as mt
@@ -49,3 +50,17 @@ def test_nothing_is_shuffled(texts):
     for made in (mt.rouge_n(texts[1], ["k"]), mt.rouge_l(texts[1], ["k"]), mt.bleu4(texts[1], ["k"])):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == texts[1]._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_memory_of_a_batch_does_not_follow_its_rows():
+    import tracemalloc
+
+    tokens = [f"w{i % 97}" for i in range(90)]
+    sides = [pa.array([tokens] * 10_000, pa.list_(pa.string()))] * 2
+    batch = pa.RecordBatch.from_arrays(sides, names=["candidate", "reference"])
+    tracemalloc.start()
+    for part in mt._token_slices(batch):
+        mt.count_overlaps(part, (1, 2, 3, 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
