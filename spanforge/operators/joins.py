@@ -124,10 +124,11 @@ def band_semi_join(picks: DataFrame, selected: DataFrame, tolerance: int = 15) -
     """Picks with any selected frame within ``tolerance``, per user.
 
     Frames fall into buckets of the tolerance; a pick looks in three buckets, so the join
-    stays an equi-join of bounded fan-out.
+    stays an equi-join of bounded fan-out. Repeated selections fall together with the hits, once, and are
+    not made distinct before: that would keep all selections of a task in memory again.
     """
     bucket = F.floor(F.col("frame") / tolerance)
-    sel = selected.select(*KEYS, "user_id", "frame", bucket.alias("_b")).distinct()
+    sel = selected.select(*KEYS, "user_id", "frame", bucket.alias("_b"))
     home = F.floor(F.col("pick") / tolerance)
     near = picks.select(*KEYS, "step", "pick", F.explode(F.array(home - 1, home, home + 1)).alias("_b"))
     return (

@@ -129,7 +129,7 @@ def representative_shots(spark, sf):
     ),
 )
 def band_semi_join(spark, sf):
-    votes = views.votes(spark, sf)
+    votes = views.votes(spark, sf, once=False)
     steps = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("last") / 30).cast("long"))).alias("step")
     picks = views.last_frames(votes).select(*KEYS, steps).withColumn("pick", F.col("step") * 30)
     near = joins.band_semi_join(picks, votes)
